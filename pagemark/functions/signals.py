@@ -77,22 +77,29 @@ def signals(text: Column, html: Column) -> Column:
         blocks = c["headings"] + c["paragraphs"] + c["lists"]
         per_block = c["words"] / F.greatest(blocks, F.lit(1))
         return F.struct(
-            len_text(text).alias("len_text"),
-            len_norm(text).alias("len_norm"),
+            c["len_text"].alias("len_text"),
+            (c["len_text"] / F.lit(MAX_TEXT_LEN)).alias("len_norm"),
             c["words"].alias("word_count"),
             F.least(per_block / F.lit(100), F.lit(1.0)).alias("density"),
             F.least(c["headings"] * 2 + c["lists"], F.lit(50)).alias("structure"),
-            link_quality(html).alias("link_quality"),
-            freshness(text).alias("freshness"),
+            c["link_quality"].alias("link_quality"),
+            c["freshness"].alias("freshness"),
             c["headings"].alias("headings"),
             c["lists"].alias("lists"),
         )
 
-    counts = F.struct(
-        count_words(text).alias("words"), heading_count(html).alias("headings"),
-        paragraph_count(html).alias("paragraphs"), item_count(html).alias("lists"),
-    )
-    return let(counts, build)
+    def measure(s: Column) -> Column:
+        return F.struct(
+            len_text(s["text"]).alias("len_text"), count_words(s["text"]).alias("words"),
+            heading_count(s["html"]).alias("headings"),
+            paragraph_count(s["html"]).alias("paragraphs"),
+            item_count(s["html"]).alias("lists"),
+            link_quality(s["html"]).alias("link_quality"),
+            freshness(s["text"]).alias("freshness"),
+        )
+
+    inputs = F.struct(text.alias("text"), html.alias("html"))
+    return let(let(inputs, measure), build)
 
 
 def words(text: Column) -> Column:
