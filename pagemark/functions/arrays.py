@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_PLAIN = re.compile(r"Column<'(?![xyz]_\d+')[A-Za-z_][\w.]*'>")
+_BUILT: dict[tuple, Column] = {}
+
+
+def reused(function: Callable[..., Column]) -> Callable[..., Column]:
+    """Build the Column once per session when its inputs are plain column names.
+
+    A large expression takes thousands of calls into the JVM to build, and a Column
+    does not belong to any DataFrame, so the same one can be used again.
+    """
+    @functools.wraps(function)
+    def build(*args, **options):
+        shown = [str(a) if isinstance(a, Column) else None for a in args]
+        plain = all(s is None or _PLAIN.fullmatch(s) for s in shown)
+        context = SparkContext._active_spark_context
+        if not plain or context is None:
+            return function(*args, **options)
+        inputs = tuple(a if s is None else s for a, s in zip(args, shown))
+        key = (function.__module__, function.__qualname__, inputs,
+               tuple(sorted(options.items())), context.applicationId)
+        if key not in _BUILT:
+            _BUILT[key] = function(*args, **options)
+        return _BUILT[key]
+
+    return build
+
+
+def constant_map(pairs: dict[str, str]) -> Column:
+    """A lookup table that is one literal in the plan, however many entries it has."""
+    text = "\x02".join(f"{key}\x01{value}" for key, value in pairs.items())
+    return F.str_to_map(F.lit(text), F.lit("\x02"), F.lit("\x01"))
+
+
 def join(parts: Column) -> Column:
     return F.array_join(parts, "")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemark.dialect import CAPTCHA_WORDS, LOGIN_WORDS, PAYWALL_WORDS, PROBE_BELOW_CHARS
-from pagemark.functions.arrays import let
+from pagemark.functions.arrays import let, reused
 from pagemark.functions.html import trim_space
 
 LOGIN_FORM = r"""(?i:<form\s(?:[^>]*\s)?action\s*=\s*)["']?[^"'>]*login"""
@@ -56,6 +56,7 @@ def probe_error(html: Column, error: Column) -> Column:
     )
 
 
+@reused
 def blocker_flags(status: Column, html: Column, text: Column, error: Column) -> Column:
     """All flags of a page as one struct; nothing but the error if it did not load."""
     def flags(s: Column) -> Column:

@@ -6,12 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemark.dialect import TIE_THRESHOLD
-from pagemark.functions.arrays import let
+from pagemark.functions.arrays import let, reused
 from pagemark.functions.signals import score_of, semantic_overlap, signals
 
 CAPTURE, REFETCH = "capture", "refetch"
 
 
+@reused
 def compare_and_decide(
     text_a: Column, html_a: Column, text_b: Column, html_b: Column, penalty: Column,
     threshold: float = TIE_THRESHOLD, overlap_weight: float = 0.0,

@@ -9,12 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemark.dialect import ARTICLE_TYPES, CONFIDENCE, MIN_ARTICLE_CHARS
-from pagemark.functions.arrays import let
+from pagemark.functions.arrays import let, reused
 from pagemark.functions.html import (
     attr, count_words, density_html, document_title, first_subtree, fragment_text,
-    keep_attr_regions, keep_regions, protect,
+    keep_regions, protect,
 )
-from pagemark.functions.urls import resolve_url, same_origin
+from pagemark.functions.urls import origin, resolve_url
 
 EXTRACTION = (
     "struct<method:string,confidence:double,title:string,html:string,text:string,"
@@ -47,6 +47,7 @@ def _extraction(method: str, title: Column, html: Column, text: Column,
     ).cast(EXTRACTION)
 
 
+@reused
 def jsonld_extraction(html: Column) -> Column:
     """First schema.org article of a page's JSON-LD blocks with a long enough body."""
     def items(script: Column) -> Column:
@@ -95,6 +96,7 @@ def _long_enough(inner: Column, build) -> Column:
     )
 
 
+@reused
 def microdata_extraction(html: Column) -> Column:
     """Element marked ``itemprop="articleBody"``."""
     def first(h: Column, prop: str) -> Column:
@@ -113,38 +115,52 @@ def microdata_extraction(html: Column) -> Column:
     return F.when(html.rlike(r"(?i)itemprop\s*="), let(protect(html), build))
 
 
+# (landmark the search is limited to, element taken), in order of precedence
+LANDMARKS = (
+    (open_tag("main"), open_tag("article")),
+    (None, open_tag("main")),
+    (open_with("role", "main"), open_tag("article")),
+    (None, open_with("role", "main")),
+    (None, open_tag("article")),
+    (None, open_with("role", "article")),
+)
+HEADING = r"(?is)<h1(?:\s[^>]*)?>(.*?)(?:</h1\s*>|\z)"
+
+
+@reused
 def landmark_extraction(html: Column) -> Column:
     """First semantic landmark, in order of precedence, whose text is long enough."""
-    article, main = open_tag("article"), open_tag("main")
-    role_main, role_article = open_with("role", "main"), open_with("role", "article")
+    none = F.lit(None).cast("string")
+    selectors = F.array(*(
+        F.struct((none if within is None else F.lit(within)).alias("within"),
+                 F.lit(element).alias("element"))
+        for within, element in LANDMARKS
+    ))
 
     def build(h: Column) -> Column:
         def take(inner: Column) -> Column:
-            heading = r"(?is)<h1(?:\s[^>]*)?>(.*?)(?:</h1\s*>|\z)"
-
-            def made(i: Column) -> Column:
-                title = F.when(
-                    i.rlike(heading), fragment_text(F.regexp_extract(i, heading, 1))
-                ).otherwise(document_title(h))
-                return _long_enough(i, lambda text: _extraction("semantic", title, i, text))
-
-            return let(inner, made)
-
-        has_main, has_role = h.rlike(main), h.rlike(r"(?i)role\s*=")
-        within_main = first_subtree(keep_regions(h, "main"), article, "article")
-        within_role = first_subtree(keep_attr_regions(h, role_main), article, "article")
-        return F.coalesce(
-            F.when(has_main, take(within_main)),
-            F.when(has_main, take(first_subtree(h, main, "main"))),
-            F.when(has_role, take(within_role)),
-            F.when(has_role, take(first_subtree(h, role_main))),
-            take(first_subtree(h, article, "article")),
-            F.when(has_role, take(first_subtree(h, role_article))),
+            title = F.when(
+                inner.rlike(HEADING), fragment_text(F.regexp_extract(inner, HEADING, 1))
+            ).otherwise(document_title(h))
+            return _long_enough(inner, lambda text: _extraction("semantic", title, inner, text))
+
+        def attempt(selector: Column) -> Column:
+            scope = F.when(selector["within"].isNull(), h).when(
+                F.rlike(h, selector["within"]), keep_regions(h, selector["within"])
+            )
+            return let(first_subtree(scope, selector["element"]), take)
+
+        # one selector after the other, until one succeeds
+        return F.aggregate(
+            F.filter(selectors, lambda s: F.rlike(h, s["element"])),
+            F.lit(None).cast(EXTRACTION),
+            lambda found, s: F.when(found.isNotNull(), found).otherwise(attempt(s)),
         )
 
     return F.when(html.rlike(r"(?i)<(?:main|article)[\s/>]|role\s*="), let(protect(html), build))
 
 
+@reused
 def density_extraction(html: Column, min_chars: int = 1) -> Column:
     """Main content by text density; works on any page that has content."""
     def build(inner: Column) -> Column:
@@ -159,10 +175,12 @@ def density_extraction(html: Column, min_chars: int = 1) -> Column:
     return let(density_html(html), build)
 
 
+@reused
 def schema_extraction(html: Column) -> Column:
     return F.coalesce(jsonld_extraction(html), microdata_extraction(html))
 
 
+@reused
 def best_extraction(html: Column) -> Column:
     """First extractor that succeeds; later ones are not evaluated then."""
     return F.coalesce(
@@ -170,6 +188,7 @@ def best_extraction(html: Column) -> Column:
     )
 
 
+@reused
 def all_extractions(html: Column) -> Column:
     """Array of the extractions that succeeded, most trusted first."""
     return F.array_compact(
@@ -180,6 +199,7 @@ def all_extractions(html: Column) -> Column:
 NO_CONTENT = "no content"
 
 
+@reused
 def refetch_extraction(html: Column, min_chars: int = 1) -> Column:
     """Extraction of a re-fetched page with its summary; never NULL."""
     def summary(s: Column) -> Column:
@@ -210,17 +230,25 @@ def capture_stats(text: Column, html: Column) -> Column:
     )
 
 
+@reused
 def iframes(html: Column, page_url: Column) -> Column:
     """Inventory of a page's iframes with resolved sources."""
     def info(tag: Column) -> Column:
         src = F.coalesce(attr(tag, "src"), F.lit(""))
-        return F.struct(
-            F.when(src == "", "").otherwise(resolve_url(page_url, src)).alias("src"),
-            same_origin(src, page_url).alias("sameOrigin"),
+        resolved = let(src, lambda s: F.struct(
+            s.alias("given"), resolve_url(page_url, s).alias("full")))
+        return let(
+            resolved,
+            lambda r: F.struct(
+                F.when(r["given"] == "", "").otherwise(r["full"]).alias("src"),
+                F.coalesce(origin(r["full"]) == origin(page_url), F.lit(False)).alias("sameOrigin"),
+            ),
         )
 
     tags = F.regexp_extract_all(
         F.regexp_replace(protect(html), r"(?s)<!--.*?(?:-->|\z)", ""),
         F.lit(r"(?i)<iframe(?:\s[^>]*)?>"), F.lit(0),
     )
-    return F.transform(tags, info)
+    return F.when(html.rlike(r"(?i)<iframe[\s/>]"), F.transform(tags, info)).otherwise(
+        F.array().cast("array<struct<src:string,sameOrigin:boolean>>")
+    )

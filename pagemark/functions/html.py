@@ -18,7 +18,7 @@ from pagemark.dialect import (
     QUOTED_GT_RE, QUOTED_GT_SINGLE_JAVA, RAW_RE, SPACE_RE, TAG_NAME, TAG_RE, TOKEN_RE,
     TRIM_RE, VOID_TAGS, tags_re,
 )
-from pagemark.functions.arrays import join, let, running
+from pagemark.functions.arrays import constant_map, join, let, reused, running
 
 BREAK = "\x01"      # stands for a line break that markup asks for
 CUT = "\x02"        # marks the places a page is cut at
@@ -30,6 +30,7 @@ LINK_CONTENT = r"(?is)<a(?:\s[^>]*)?>(.*?)(?:</a\s*>|\z)"
 LAST_LINK_TAG = r"(?is)^.*(</?a(?:\s[^>]*)?>)"
 
 
+@reused
 def protect(html: Column) -> Column:
     """Make ``html`` safe for the tag regexes.
 
@@ -77,35 +78,34 @@ def token_attrs(tok: Column) -> Column:
 def attr(tag: Column, name: str) -> Column:
     """Value of an attribute inside one opening tag; NULL if it is not there."""
     pattern = rf"""(?is)^<[^>]*?[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    value = F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)))
-    return F.when(tag.rlike(pattern), decode_entities(value))
+
+    def value(t: Column) -> Column:
+        parts = F.concat(*(F.regexp_extract(t, pattern, i) for i in (1, 2, 3)))
+        return F.when(t.rlike(pattern), decode_entities(parts))
+
+    return let(tag, value)
 
 
 def decode_entities(text: Column) -> Column:
     """Named and numeric character references to characters, in one pass."""
-    named = F.create_map(*(F.lit(x) for pair in ENTITIES for x in pair))
-
-    def number(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, r"^&#([0-9]{1,7});$", 1)
-        hexes = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
-        code = F.when(digits != "", F.conv(digits, 10, 16)).otherwise(hexes)
-        valid = F.conv(code, 16, 10).cast("int").between(1, 0x10FFFF) & ~F.conv(
-            code, 16, 10
-        ).cast("int").between(0xD800, 0xDFFF)
-        return F.when(
-            valid, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-        ).otherwise(piece)
+    named = constant_map(dict(ENTITIES))
+
+    def character(code: Column) -> Column:
+        """Character of a hexadecimal code point; NULL if there is none."""
+        number = F.conv(code, 16, 10).cast("int")
+        valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
+
+    def number(p: Column) -> Column:
+        hexes = F.regexp_extract(p, "^&#[xX]([0-9a-fA-F]{1,6});$", 1)
+        digits = F.regexp_extract(p, "^&#([0-9]{1,7});$", 1)
+        return let(F.when(hexes != "", hexes).otherwise(F.conv(digits, 10, 16)), character)
 
     def piece(p: Column) -> Column:
-        return (
-            F.when(~p.startswith("&"), p)
-            .when(p == "&amp;", "&")
-            .when(p == "&lt;", "<")
-            .when(p == "&gt;", ">")
-            .when(p == "&quot;", '"')
-            .when(p.startswith("&#"), number(p))
-            .otherwise(F.coalesce(F.element_at(named, p), p))
-        )
+        found = F.when(p.startswith("&#"), number(p)).otherwise(F.element_at(named, p))
+        return F.when(p == "&amp;", "&").when(
+            p.startswith("&"), F.coalesce(found, p)
+        ).otherwise(p)
 
     return let(
         text,
@@ -130,6 +130,7 @@ def strip_raw(html: Column) -> Column:
     return F.regexp_replace(html, RAW_RE, "")
 
 
+@reused
 def fragment_text(html: Column) -> Column:
     """``visible_text`` for HTML that went through ``protect`` already."""
     s = strip_raw(html)
@@ -140,17 +141,20 @@ def fragment_text(html: Column) -> Column:
     return trim_space(decode_entities(s))
 
 
+@reused
 def visible_text(html: Column) -> Column:
     """Text as a reader sees it: block tags break lines, entities are decoded."""
     return fragment_text(protect(html))
 
 
+@reused
 def page_text(html: Column) -> Column:
     """Visible text of the body of a whole page."""
     head = r"(?is)<head(?:\s[^>]*)?>.*?</head\s*>|<title(?:\s[^>]*)?>.*?</title\s*>"
     return fragment_text(F.regexp_replace(strip_raw(protect(html)), head, ""))
 
 
+@reused
 def document_title(html: Column) -> Column:
     raw = F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1)
     return trim_space(F.regexp_replace(decode_entities(raw), SPACE_RE, " "))
@@ -235,6 +239,7 @@ def fragment_drop_regions(html: Column, tags: tuple[str, ...] = DROPPED_TAGS) ->
     return _region_pieces(strip_raw(html), tags_re(tags), lambda part: F.lit(True), inside=False)
 
 
+@reused
 def drop_regions(html: Column, tags: tuple[str, ...] = DROPPED_TAGS) -> Column:
     """Remove the elements named in ``tags`` with all they contain.
 
@@ -243,55 +248,44 @@ def drop_regions(html: Column, tags: tuple[str, ...] = DROPPED_TAGS) -> Column:
     return fragment_drop_regions(protect(html), tags)
 
 
-def keep_regions(html: Column, tag: str) -> Column:
-    """Content of all elements of one tag name, one after another."""
-    return _region_pieces(html, tags_re((tag,)), lambda part: F.lit(True), inside=True)
-
-
-def keep_attr_regions(html: Column, open_re: str) -> Column:
-    """Content of all elements whose opening tag matches ``open_re``."""
+def keep_regions(html: Column, open_re: Column) -> Column:
+    """Content of all elements whose opening tag matches, one after another."""
     return _region_pieces(
-        html, r"</?[a-zA-Z][^>]*>", lambda part: part.rlike("^" + open_re), inside=True
+        html, TAG_RE, lambda part: F.rlike(part, F.concat(F.lit("^"), open_re)), inside=True
     )
 
 
-def first_subtree(html: Column, open_re: str, tag: str | None = None) -> Column:
-    """Inner HTML of the first element whose opening tag matches; NULL if none.
+def first_subtree(html: Column, open_re: Column | str) -> Column:
+    """Inner HTML of the first element whose opening tag matches; NULL if none."""
+    open_re = F.lit(open_re) if isinstance(open_re, str) else open_re
 
-    ``tag`` names the element when the regex fixes it, which keeps the pattern for
-    its end constant; otherwise it is read from the opening tag found.
-    """
-    def inner(opening: Column) -> Column:
-        rest = F.substr(html, F.instr(html, opening) + F.length(opening))
-        name = F.lit(tag) if tag else token_tag(opening)
-        if tag:
-            marked = F.regexp_replace(rest, tags_re((tag,)), CUT + "$0")
-        else:
-            pattern = F.concat(F.lit("(?i:</?"), name, F.lit(r")(?:[\s/][^>]*)?>"))
-            marked = F.regexp_replace(rest, pattern, F.lit(CUT + "$0"))
-
-        def step(depth: Column, part: Column) -> Column:
-            return (
-                F.when(depth == 0, 0)
-                .when(part.startswith("</"), depth - 1)
-                .when(_self_closing(part), depth)
-                .otherwise(depth + 1)
-            )
+    def step(depth: Column, part: Column) -> Column:
+        return (
+            F.when(depth == 0, 0)
+            .when(part.startswith("</"), depth - 1)
+            .when(_self_closing(part), depth)
+            .otherwise(depth + 1)
+        )
 
-        def assemble(parts: Column) -> Column:
-            tail = running(
-                F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
-                F.lit(1), step,
-                lambda depth, part: F.when(depth > 0, part).otherwise(""), "string",
-            )
-            return F.concat(F.get(parts, F.lit(0)), join(tail))
+    def assemble(parts: Column) -> Column:
+        tail = running(
+            F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+            F.lit(1), step,
+            lambda depth, part: F.when(depth > 0, part).otherwise(""), "string",
+        )
+        return F.concat(F.get(parts, F.lit(0)), join(tail))
 
-        return F.when(name.isin(*VOID_TAGS), "").otherwise(
-            let(F.split(marked, CUT), assemble)
+    def inner(s: Column) -> Column:
+        rest = F.substr(s["html"], F.instr(s["html"], s["open"]) + F.length(s["open"]))
+        same_tag = F.concat(F.lit("(?i:</?"), token_tag(s["open"]), F.lit(r")(?:[\s/][^>]*)?>"))
+        parts = F.split(F.regexp_replace(rest, same_tag, F.lit(CUT + "$0")), CUT)
+        return F.when(
+            s["open"] != "",
+            F.when(token_tag(s["open"]).isin(*VOID_TAGS), "").otherwise(let(parts, assemble)),
         )
 
-    opening = F.regexp_extract(html, open_re, 0)
-    return let(opening, lambda o: F.when(o != "", inner(o)))
+    opening = F.call_function("regexp_extract", html, open_re, F.lit(0))
+    return let(F.struct(html.alias("html"), opening.alias("open")), inner)
 
 
 # -------------------------------------------------------------------- blocks
@@ -300,6 +294,7 @@ BLOCK_TYPE = "struct<html:string,words:int,link_words:int,inside:boolean,tag:str
 KEPT_NAMES = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote")
 
 
+@reused
 def text_blocks(html: Column) -> Column:
     """Non-empty text blocks of a page with word and link-word counts.
 
@@ -399,6 +394,7 @@ def blocks_html(blocks: Column) -> Column:
     return join(F.transform(blocks, render))
 
 
+@reused
 def density_html(html: Column) -> Column:
     """Main content of any page as HTML, by text density; empty if there is none."""
     return blocks_html(content_blocks(text_blocks(protect(html))))

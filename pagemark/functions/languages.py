@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemark.functions.arrays import let
+from pagemark.functions.arrays import constant_map, let, reused
 
 # ---------------------------------------------------------------- fixed values
 # alias -> canonical name
@@ -81,17 +81,20 @@ def lang_alias(spark: SparkSession) -> DataFrame:
 
 
 def normalize_language(lang: Column) -> Column:
-    aliases = F.create_map(*(F.lit(x) for pair in LANGUAGE_ALIASES.items() for x in pair))
+    aliases = constant_map(LANGUAGE_ALIASES)
     return let(lang, lambda name: F.coalesce(F.element_at(aliases, name), name))
 
 
+@reused
 def lang_from_class(classes: Column) -> Column:
     """Language named by the class attribute of a code element, or ''."""
-    found = [
-        F.nullif(F.regexp_extract(classes, rf"\b{prefix}(\w+)", 1), F.lit(""))
-        for prefix in CLASS_PREFIXES
-    ]
-    return F.coalesce(normalize_language(F.lower(F.coalesce(*found))), F.lit(""))
+    def named(text: Column) -> Column:
+        return F.coalesce(*(
+            F.nullif(F.regexp_extract(text, rf"\b{prefix}(\w+)", 1), F.lit(""))
+            for prefix in CLASS_PREFIXES
+        ))
+
+    return F.coalesce(normalize_language(F.lower(let(classes, named))), F.lit(""))
 
 
 def _java_flags(pattern: str) -> str:
@@ -99,6 +102,7 @@ def _java_flags(pattern: str) -> str:
     return pattern.replace("(?m)", "(?md)").replace("(?im)", "(?imd)")
 
 
+@reused
 def detect_code_language(code: Column) -> Column:
     """Language guessed from the code itself, or ''."""
     def any_of(text: Column, patterns: list[str]) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pagemark.dialect import (
     DROPPED_TAGS, FRAGMENT_JAVA, INLINE_SPACE_CHARS, LINE_TAGS, SPACE_RE, TAG_RE, tags_re,
 )
-from pagemark.functions.arrays import join, let, running
+from pagemark.functions.arrays import join, let, reused, running
 from pagemark.functions.html import (
     _after_first_tag, _cut, attr, decode_entities, fragment_drop_regions, protect, token_tag,
     trim_space,
@@ -191,6 +191,7 @@ def join_lines(lines: Column) -> Column:
 
 # ------------------------------------------------------------------------ code
 
+@reused
 def code_of(pre: Column) -> Column:
     """Text of a ``pre`` element."""
     inner = F.regexp_replace(_after_first_tag(pre), r"(?i)</pre\s*>$", "")
@@ -198,13 +199,17 @@ def code_of(pre: Column) -> Column:
     return decode_entities(F.regexp_replace(broken, TAG_RE, ""))
 
 
+@reused
 def lang_of(pre: Column) -> Column:
     """Language of a ``pre`` element: class of its ``code``, else its own class."""
     code_tag = F.regexp_extract(pre, r"(?i)<code(?:\s[^>]*)?>", 0)
     pre_tag = F.regexp_extract(pre, r"^<[^>]*>", 0)
-    of_code = lang_from_class(F.coalesce(attr(code_tag, "class"), F.lit("")))
-    of_pre = lang_from_class(F.coalesce(attr(pre_tag, "class"), F.lit("")))
-    return F.when(code_tag == "", "").when(of_code != "", of_code).otherwise(of_pre)
+    langs = F.transform(
+        F.when(code_tag == "", F.array().cast("array<string>")).otherwise(
+            F.array(code_tag, pre_tag)),
+        lambda tag: lang_from_class(F.coalesce(attr(tag, "class"), F.lit(""))),
+    )
+    return F.coalesce(F.get(F.filter(langs, lambda name: name != ""), F.lit(0)), F.lit(""))
 
 
 def pre_elements(html: Column) -> Column:
@@ -345,6 +350,7 @@ def _running_text(html: Column, escape: bool) -> Column:
     return trim_space(F.translate(s, PAD, " "))
 
 
+@reused
 def html_to_markdown(
     html: Column,
     escape: bool = True,
@@ -369,6 +375,7 @@ def html_to_markdown(
     return F.when(html != "", _where(QUOTE, _quotes)(md))
 
 
+@reused
 def with_metadata_header(md: Column, title: Column, url: Column, captured_at: Column) -> Column:
     """Title, source and capture time on top of the trimmed Markdown."""
     stamp = F.date_format(F.to_utc_timestamp(captured_at, F.current_timezone()),
@@ -394,6 +401,7 @@ def conversion_fallback(title: Column, url: Column, error: Column, html: Column)
 NO_HTML = "No HTML content provided"
 
 
+@reused
 def convert(html: Column, title: Column, url: Column, captured_at: Column, **options) -> Column:
     """Markdown with its header, or the fallback for NULL and empty HTML."""
     return F.when(
@@ -426,6 +434,7 @@ def fragment_code(piece: Column) -> Column:
     return F.regexp_replace(inner, r"(?md)^\p{Nd}+", "")
 
 
+@reused
 def fix_fragmented_code(md: Column) -> Column:
     """Numbered inline code to fenced blocks without the numbers."""
     def piece(p: Column) -> Column:
@@ -442,6 +451,7 @@ def fix_fragmented_code(md: Column) -> Column:
     )(md)
 
 
+@reused
 def clean_markdown(md: Column) -> Column:
     """Of consecutive blank lines keep the first."""
     blank = f"[{INLINE_SPACE_CHARS}]*+"

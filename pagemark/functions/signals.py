@@ -9,7 +9,7 @@ from pagemark.dialect import (
     BLOCKER_PENALTY, DATE_PATTERNS, MAX_TEXT_LEN, WEIGHT_DENSITY, WEIGHT_FRESHNESS,
     WEIGHT_LEN, WEIGHT_LINKS, WEIGHT_STRUCTURE, WORDS_RE,
 )
-from pagemark.functions.arrays import let
+from pagemark.functions.arrays import let, reused
 from pagemark.functions.html import count_words
 
 HEADING_OPEN, PARAGRAPH_OPEN, ITEM_OPEN = "(?i)<h[1-6]", "(?i)<p>", "(?i)<li>"
@@ -53,6 +53,7 @@ def structure(html: Column) -> Column:
     return F.least(heading_count(html) * 2 + item_count(html), F.lit(50))
 
 
+@reused
 def link_quality(html: Column) -> Column:
     """Share of double-quoted ``href`` values that are absolute."""
     return let(
@@ -71,6 +72,7 @@ def freshness(text: Column) -> Column:
     return F.when(dated, 1.0).otherwise(0.0)
 
 
+@reused
 def signals(text: Column, html: Column) -> Column:
     """All signals of a candidate as one struct; each count is taken once."""
     def build(c: Column) -> Column:
@@ -106,6 +108,7 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORDS_RE), F.lit(0))
 
 
+@reused
 def word_ngrams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
     """Set of all word n-grams of the given sizes, joined by a space."""
     def grams(ws: Column, n: int) -> Column:
@@ -120,6 +123,7 @@ def word_ngrams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
     return let(words(text), lambda ws: F.array_distinct(F.concat(*(grams(ws, n) for n in sizes))))
 
 
+@reused
 def semantic_overlap(a: Column, b: Column) -> Column:
     """Jaccard similarity of the two n-gram sets; 0 if either is empty."""
     both = F.struct(word_ngrams(a).alias("a"), word_ngrams(b).alias("b"))

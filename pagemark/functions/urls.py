@@ -8,13 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemark.dialect import LINK_PATTERN, TOKEN_PARAMS, TRACKING_PARAMS, URL_RE
-from pagemark.functions.arrays import join, let
+from pagemark.functions.arrays import join, let, reused
 
 LINK_PIECES = LINK_PATTERN + r"|[^\[]+|\["
 # schemes whose references resolve against a base, and those that take an authority
 RELATIVE_SCHEMES = ("http", "https", "ftp", "file", "ws", "wss", "sftp", "")
 
 
+@reused
 def split_url(url: Column) -> Column:
     """scheme, authority (NULL if absent), path, query, fragment."""
     clean = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
@@ -91,6 +92,7 @@ def clean_query(query: Column) -> Column:
     )
 
 
+@reused
 def strip_tracking(url: Column) -> Column:
     """URL without tracking parameters; an unparsable URL comes back unchanged."""
     def strip(u: Column) -> Column:
@@ -133,6 +135,7 @@ def _merge_paths(base_path: Column, path: Column) -> Column:
     return let(merged, lambda m: F.when(m == "", "/").otherwise(m))
 
 
+@reused
 def resolve_url(base: Column, ref: Column) -> Column:
     """Absolute URL of ``ref`` seen from ``base``."""
     def combine(s: Column) -> Column:
@@ -178,6 +181,7 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_replace(authority, r"^.*@|:\d*$", ""))
 
 
+@reused
 def redirect_key(url: Column) -> Column:
     """(host, path) that decides whether two URLs are the same page."""
     def path(p: Column) -> Column:
@@ -199,11 +203,12 @@ def redirect_key(url: Column) -> Column:
     )
 
 
+@reused
 def was_redirected(original: Column, final: Column) -> Column:
     return redirect_key(original) != redirect_key(final)
 
 
-def _origin(url: Column) -> Column:
+def origin(url: Column) -> Column:
     """scheme://host:port with default ports dropped; NULL if there is none."""
     def build(p: Column) -> Column:
         authority = F.lower(F.regexp_replace(F.coalesce(p["authority"], F.lit("")), "^.*@", ""))
@@ -219,8 +224,9 @@ def _origin(url: Column) -> Column:
     return let(split_url(url), build)
 
 
+@reused
 def same_origin(url: Column, page_url: Column) -> Column:
-    return F.coalesce(_origin(resolve_url(page_url, url)) == _origin(page_url), F.lit(False))
+    return F.coalesce(origin(resolve_url(page_url, url)) == origin(page_url), F.lit(False))
 
 
 def sanitize_filename(title: Column) -> Column:
@@ -251,6 +257,7 @@ def link_text(piece: Column) -> Column:
     return F.regexp_extract(piece, LINK_PATTERN, 1)
 
 
+@reused
 def clean_link_url(base: Column, url: Column) -> Column:
     """Absolute, tracking-free URL; in-page anchors and mail addresses stay."""
     def fix(u: Column) -> Column:
@@ -273,5 +280,6 @@ def map_links(md: Column, change: Callable[[Column], Column]) -> Column:
     return F.when(md == "", "").otherwise(join(F.transform(link_pieces(md), piece)))
 
 
+@reused
 def normalize_links(md: Column, base: Column) -> Column:
     return map_links(md, lambda u: clean_link_url(base, u))

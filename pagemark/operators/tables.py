@@ -79,9 +79,8 @@ def link_table(table: DataFrame, source: str = "markdown", base: str = "url") ->
 
 def normalize_languages(table: DataFrame, column: str = "lang") -> DataFrame:
     """Canonical language names by a join with the alias table (a fixed, tiny side)."""
-    alias = languages.lang_alias(table.sparkSession).withColumnsRenamed(
-        {"alias": column, "lang": "_canonical"}
+    alias = languages.lang_alias(table.sparkSession).select(
+        F.col("alias").alias(column), F.col("lang").alias("_canonical")
     )
     joined = table.join(F.broadcast(alias), column, "left")
-    canonical = F.coalesce("_canonical", column)
-    return joined.withColumn(column, canonical).drop("_canonical")
+    return joined.withColumn(column, F.coalesce("_canonical", column)).drop("_canonical")

@@ -54,7 +54,18 @@ def read_captures(spark: SparkSession, path: str, file_format: str = "json") ->
     return shape_captures(raw)
 
 
-def shape_captures(raw: DataFrame) -> DataFrame:
+def parse_captures(messages: DataFrame, column: str = "value") -> DataFrame:
+    """Capture records that arrive as JSON text in a column."""
+    parsed = F.from_json(
+        F.col(column), CAPTURE_SCHEMA,
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
+    )
+    others = [c for c in messages.columns if c != column]
+    raw = messages.select(*others, parsed.alias("r")).select(*others, "r.*")
+    return shape_captures(raw, others)
+
+
+def shape_captures(raw: DataFrame, others: list[str] | None = None) -> DataFrame:
     """Browser field names and text timestamps to the capture schema."""
     meta = F.when(
         F.col("meta").isNotNull(),
@@ -68,7 +79,7 @@ def shape_captures(raw: DataFrame) -> DataFrame:
         ),
     )
     return raw.select(
-        "url", "title", F.col("html_extension").alias("html"),
+        *(others or []), "url", "title", F.col("html_extension").alias("html"),
         F.col("text_extension").alias("text"), meta.alias("meta"), "_corrupt",
     )
 

@@ -9,8 +9,10 @@ from pagemark.dialect import FETCH_TIMEOUT
 from pagemark.plans.ingest import answer, join_candidates, prepare_fetches
 
 
-def read_stream(spark: SparkSession, path: str, schema, file_format: str = "parquet") -> DataFrame:
-    return spark.readStream.schema(schema).format(file_format).load(path)
+def read_stream(spark: SparkSession, path: str, schema, file_format: str = "parquet",
+                **options) -> DataFrame:
+    """Files of a directory as a stream, in the given schema."""
+    return spark.readStream.schema(schema).format(file_format).options(**options).load(path)
 
 
 def ingest_stream(captures: DataFrame, prepared: DataFrame, **options) -> DataFrame:
