@@ -519,7 +519,11 @@ def ingest(spark, directory):
 
 @query
 def run_report(spark, directory):
-    return job.run_report(job.answer(_joined(spark, directory)))
+    report = job.run_report(job.answer(_joined(spark, directory)))
+    return report.select(
+        "route", "chosen", "n", F.round("avg_score_a", 6).alias("avg_score_a"),
+        F.round("avg_score_b", 6).alias("avg_score_b"),
+    )
 
 
 @query
@@ -607,7 +611,7 @@ def sql_functions(spark, directory):
                pm_redact_tokens(concat(url, '?token=', page_id)) AS safe_url,
                pm_sanitize_filename(url) AS filename, pm_word_count(html) AS word_count,
                pm_structure(html) AS structure, pm_visible_text(html) AS text,
-               pm_lang_from_class(concat('lang-py', page_id % 2 + 2)) AS lang
+               pm_lang_from_class(concat('lang-python', page_id % 2 + 2)) AS lang
         FROM pagemark_pages
         """
     )

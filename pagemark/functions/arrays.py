@@ -55,6 +55,19 @@ def constant_map(pairs: dict[str, str]) -> Column:
     return F.str_to_map(F.lit(text), F.lit("\x02"), F.lit("\x01"))
 
 
+def strict_json(text: Column) -> Column:
+    """The JSON value of a text as VARIANT; NULL if there is anything besides it.
+
+    The parser stops after the first value, so the text is read as the only element
+    of an array.
+    """
+    def only(items: Column) -> Column:
+        return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return let(F.try_variant_get(wrapped, "$", "array<variant>"), only)
+
+
 def join(parts: Column) -> Column:
     return F.array_join(parts, "")
 

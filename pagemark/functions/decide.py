@@ -24,7 +24,8 @@ def compare_and_decide(
     enters the scores only if ``overlap_weight`` is set.
     """
     def rounded(c: Column) -> Column:
-        return F.round(c, 3)
+        # half to even on the binary value; ``round`` works on the decimal notation
+        return F.rint(c * 1000) / 1000
 
     def side(s: Column, overlap: Column) -> Column:
         return F.struct(

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemark.dialect import ARTICLE_TYPES, CONFIDENCE, MIN_ARTICLE_CHARS
-from pagemark.functions.arrays import let, reused
+from pagemark.functions.arrays import let, reused, strict_json
 from pagemark.functions.html import (
     attr, count_words, density_html, document_title, first_subtree, fragment_text,
     keep_regions, protect,
@@ -52,7 +52,7 @@ def jsonld_extraction(html: Column) -> Column:
     """First schema.org article of a page's JSON-LD blocks with a long enough body."""
     def items(script: Column) -> Column:
         return let(
-            F.try_parse_json(script),
+            strict_json(script),
             lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v)),
         )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemark.functions.arrays import constant_map, let, reused
+from pagemark.functions.arrays import constant_map, let, reused, strict_json
 
 # ---------------------------------------------------------------- fixed values
 # alias -> canonical name
@@ -118,7 +118,7 @@ def detect_code_language(code: Column) -> Column:
             for group in groups[1:]:
                 condition = condition & any_of(text, group)
             if lang == "json":
-                condition = condition & F.try_parse_json(text).isNotNull()
+                condition = condition & strict_json(text).isNotNull()
             chain = F.when(condition, lang) if chain is None else chain.when(condition, lang)
         return chain.otherwise("")
 
