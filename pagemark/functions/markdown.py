@@ -182,7 +182,8 @@ def _quotes(md: Column) -> Column:
     lines = join_lines(running(F.split(md, "\n"), F.lit(0), step, emit, "string"))
     # markers go with the empty quoted lines next to them
     lines = F.regexp_replace(lines, rf"{QUOTE}\n(?:>[> ]*\n|\n)*+", "")
-    return F.regexp_replace(lines, rf"(?:>[> ]*+\n)*+{QUOTE_END}\n?", "")
+    lines = F.regexp_replace(lines, rf"(?:>[> ]*+\n)*+{QUOTE_END}\n?", "")
+    return F.regexp_replace(lines, r"\n+\z", "")
 
 
 def join_lines(lines: Column) -> Column:

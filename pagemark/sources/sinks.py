@@ -14,20 +14,21 @@ def with_filenames(results: DataFrame) -> DataFrame:
     )
 
 
-def write_results(
-    results: DataFrame, path: str, cluster_by_host: bool = False, mode: str = "errorifexists"
-) -> None:
-    """Parquet corpus with a host and a title-derived file name per row.
+def write_results(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Parquet corpus with a host and a title-derived file name per row; no shuffle."""
+    with_filenames(results).write.mode(mode).parquet(path)
+
+
+def write_clustered(written: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Rewrite a corpus so that a filter on host skips files by their statistics.
 
-    A directory per host would make millions of small files, and one host may hold
-    much of the data. With ``cluster_by_host`` rows are range-partitioned and sorted
-    by (host, url) instead: a filter on host skips files by their statistics, and a
-    large host simply spans several files.
+    A directory per host would make millions of small files, and one host may hold much
+    of the data; ranges of (host, url) let a large host span several files. Give this a
+    corpus read back from its table: range partitioning samples its input in a pass of
+    its own, which would run a whole ingest twice.
     """
-    named = with_filenames(results)
-    if cluster_by_host:
-        named = named.repartitionByRange("host", "url").sortWithinPartitions("host", "url")
-    named.write.mode(mode).parquet(path)
+    ranged = written.repartitionByRange("host", "url").sortWithinPartitions("host", "url")
+    ranged.write.mode(mode).parquet(path)
 
 
 def write_markdown_text(
