@@ -49,19 +49,25 @@ def prepare_fetches(fetches: DataFrame, min_chars: int = 1) -> DataFrame:
 def latest_fetches(prepared: DataFrame) -> DataFrame:
     """One fetch per URL: the latest, or the greatest row if there is no time.
 
-    Rows of one URL are combined map-side first. The result is shuffled again on
-    purpose: adaptive execution splits a hot URL of the captures only if both join
-    sides come straight out of a shuffle.
+    Rows of one URL are combined map-side first, so a hot URL stays small.
     """
     order = [c for c in ("fetched_at", "fetch_ok") if c in prepared.columns]
     rest = [c for c in prepared.columns if c not in (*order, "url")]
     best = prepared.groupBy("url").agg(F.max(F.struct(*order, *rest)).alias("f"))
-    return best.select("url", "f.*").repartition("url")
+    return best.select("url", "f.*")
 
 
 def join_candidates(captures: DataFrame, prepared: DataFrame) -> DataFrame:
-    """Pair every capture with the re-fetch of the same URL, if there is one."""
-    return captures.join(prepared, "url", "left")
+    """Pair every capture with the re-fetch of the same URL, if there is one.
+
+    Adaptive execution splits a hot URL of the captures only if both join sides come
+    straight out of a shuffle. Fetches grouped by URL would join without one, so the
+    join has a second key, the hash of the first, which the grouping does not cover.
+    """
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_url_hash", F.xxhash64("url"))
+
+    return keyed(captures).join(keyed(prepared), ["url", "_url_hash"], "left").drop("_url_hash")
 
 
 def route() -> Column:
