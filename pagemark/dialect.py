@@ -18,6 +18,14 @@ SPACE_RE = f"[{SPACE_CHARS}]+"
 NON_SPACE_RE = f"[^{SPACE_CHARS}]+"
 # whitespace without the newline, for line-wise work
 INLINE_SPACE_CHARS = r"\t\x0b-\r\x1c-\x20\x{85}\p{Z}"
+# the same characters one by one, for trimming without a regex
+SPACE_LITERALS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+# whitespace that collapsing would change: everything but single blanks
+LOOSE_SPACE_JAVA = rf"[{SPACE_CHARS}&&[^ ]][{SPACE_CHARS}]*| [{SPACE_CHARS}]+"
 TRIM_RE = f"^[{SPACE_CHARS}]+|[{SPACE_CHARS}]+$"
 
 # ---------------------------------------------------------------- HTML

@@ -85,7 +85,7 @@ def jsonld_extraction(html: Column) -> Column:
         F.flatten(F.transform(scripts, lambda s: F.transform(items(s), fields))),
         lambda a: a["type"].isin(*ARTICLE_TYPES) & (F.length(a["body"]) > MIN_ARTICLE_CHARS),
     )
-    return F.when(html.rlike(r"(?i)application/ld\+json"), let(F.get(found, F.lit(0)), build))
+    return F.when(F.contains(F.lower(html), F.lit("ld+json")), let(F.get(found, F.lit(0)), build))
 
 
 def _long_enough(inner: Column, build) -> Column:
@@ -112,17 +112,18 @@ def microdata_extraction(html: Column) -> Column:
             ),
         )
 
-    return F.when(html.rlike(r"(?i)itemprop\s*="), let(protect(html), build))
+    return F.when(F.contains(F.lower(html), F.lit("itemprop")), let(protect(html), build))
 
 
-# (landmark the search is limited to, element taken), in order of precedence
+# (landmark the search is limited to, element taken, what such a page contains), in
+# order of precedence
 LANDMARKS = (
-    (open_tag("main"), open_tag("article")),
-    (None, open_tag("main")),
-    (open_with("role", "main"), open_tag("article")),
-    (None, open_with("role", "main")),
-    (None, open_tag("article")),
-    (None, open_with("role", "article")),
+    (open_tag("main"), open_tag("article"), "<main"),
+    (None, open_tag("main"), "<main"),
+    (open_with("role", "main"), open_tag("article"), "role"),
+    (None, open_with("role", "main"), "role"),
+    (None, open_tag("article"), "<article"),
+    (None, open_with("role", "article"), "role"),
 )
 HEADING = r"(?is)<h1(?:\s[^>]*)?>(.*?)(?:</h1\s*>|\z)"
 
@@ -133,8 +134,8 @@ def landmark_extraction(html: Column) -> Column:
     none = F.lit(None).cast("string")
     selectors = F.array(*(
         F.struct((none if within is None else F.lit(within)).alias("within"),
-                 F.lit(element).alias("element"))
-        for within, element in LANDMARKS
+                 F.lit(element).alias("element"), F.lit(needle).alias("needle"))
+        for within, element, needle in LANDMARKS
     ))
 
     def build(h: Column) -> Column:
@@ -151,13 +152,16 @@ def landmark_extraction(html: Column) -> Column:
             return let(first_subtree(scope, selector["element"]), take)
 
         # one selector after the other, until one succeeds
+        possible = let(
+            F.lower(h), lambda low: F.filter(selectors, lambda s: F.contains(low, s["needle"]))
+        )
         return F.aggregate(
-            F.filter(selectors, lambda s: F.rlike(h, s["element"])),
+            possible,
             F.lit(None).cast(EXTRACTION),
             lambda found, s: F.when(found.isNotNull(), found).otherwise(attempt(s)),
         )
 
-    return F.when(html.rlike(r"(?i)<(?:main|article)[\s/>]|role\s*="), let(protect(html), build))
+    return let(protect(html), build)
 
 
 @reused
@@ -249,6 +253,6 @@ def iframes(html: Column, page_url: Column) -> Column:
         F.regexp_replace(protect(html), r"(?s)<!--.*?(?:-->|\z)", ""),
         F.lit(r"(?i)<iframe(?:\s[^>]*)?>"), F.lit(0),
     )
-    return F.when(html.rlike(r"(?i)<iframe[\s/>]"), F.transform(tags, info)).otherwise(
+    return F.when(F.contains(F.lower(html), F.lit("<iframe")), F.transform(tags, info)).otherwise(
         F.array().cast("array<struct<src:string,sameOrigin:boolean>>")
     )

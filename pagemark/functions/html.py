@@ -14,9 +14,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemark.dialect import (
-    BLOCK_TAGS, DROPPED_TAGS, ENTITIES, LINE_TAGS, NON_SPACE_RE, QUOTED_GT_DOUBLE_JAVA,
-    QUOTED_GT_RE, QUOTED_GT_SINGLE_JAVA, RAW_RE, SPACE_RE, TAG_NAME, TAG_RE, TOKEN_RE,
-    TRIM_RE, VOID_TAGS, tags_re,
+    BLOCK_TAGS, DROPPED_TAGS, ENTITIES, LINE_TAGS, LOOSE_SPACE_JAVA, NON_SPACE_RE,
+    QUOTED_GT_DOUBLE_JAVA, QUOTED_GT_RE, QUOTED_GT_SINGLE_JAVA, RAW_RE, SPACE_LITERALS,
+    TAG_NAME, TAG_RE, TOKEN_RE, VOID_TAGS, tags_re,
 )
 from pagemark.functions.arrays import constant_map, join, let, reused, running
 
@@ -24,6 +24,11 @@ BREAK = "\x01"      # stands for a line break that markup asks for
 CUT = "\x02"        # marks the places a page is cut at
 MARKERS = r"[\x01-\x08\x0e-\x1b\x7f]"
 
+RAW_START = r"(?i)^<(?:script|style)[\s/>]"
+LINE_NAMES = tuple(
+    name for tag in LINE_TAGS
+    for name in ([f"h{n}" for n in range(1, 7)] if tag == "h[1-6]" else [tag])
+)
 FIRST_TAG = r"^<[^>]*>"
 ENTITY_PIECES = r"&#?[a-zA-Z0-9]+;|[^&]+|&"
 LINK_CONTENT = r"(?is)<a(?:\s[^>]*)?>(.*?)(?:</a\s*>|\z)"
@@ -36,17 +41,15 @@ def protect(html: Column) -> Column:
 
     Marker characters go, and ``>`` inside quoted attribute values becomes ``&gt;``.
     """
-    bare = F.regexp_replace(html, MARKERS, "")
+    def clean(h: Column) -> Column:
+        bare = F.regexp_replace(h, MARKERS, "")
+        return F.regexp_replace(
+            F.regexp_replace(bare, QUOTED_GT_DOUBLE_JAVA, "$1$2&gt;"),
+            QUOTED_GT_SINGLE_JAVA, "$1$2&gt;",
+        )
+
     return let(
-        bare,
-        lambda h: F.when(
-            h.rlike(QUOTED_GT_RE),
-            F.regexp_replace(
-                F.regexp_replace(h, QUOTED_GT_DOUBLE_JAVA, "$1$2&gt;"),
-                QUOTED_GT_SINGLE_JAVA,
-                "$1$2&gt;",
-            ),
-        ).otherwise(h),
+        html, lambda h: F.when(h.rlike(f"{MARKERS}|{QUOTED_GT_RE}"), clean(h)).otherwise(h)
     )
 
 
@@ -117,7 +120,33 @@ def decode_entities(text: Column) -> Column:
 
 
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, TRIM_RE, "")
+    return F.btrim(text, F.lit(SPACE_LITERALS))
+
+
+def squeeze_space(text: Column) -> Column:
+    """Every run of whitespace becomes one blank."""
+    return F.regexp_replace(text, LOOSE_SPACE_JAVA, " ")
+
+
+def map_tags(html: Column, change: Callable[[Column, Column], Column]) -> Column:
+    """Replace every tag by ``change(tag, name)``; comments and raw blocks go.
+
+    One pass over the page finds the tags; what is done with them then looks at short
+    strings only.
+    """
+    def piece(tok: Column) -> Column:
+        # a "<" that opens no tag is text
+        tag = let(
+            token_tag(tok),
+            lambda name: F.when(name != "", change(tok, name)).otherwise(tok),
+        )
+        return (
+            F.when(~tok.startswith("<"), tok)
+            .when(tok.startswith("<!") | tok.startswith("<?") | tok.rlike(RAW_START), "")
+            .otherwise(tag)
+        )
+
+    return join(F.transform(token_array(html), piece))
 
 
 def count_words(text: Column) -> Column:
@@ -133,11 +162,10 @@ def strip_raw(html: Column) -> Column:
 @reused
 def fragment_text(html: Column) -> Column:
     """``visible_text`` for HTML that went through ``protect`` already."""
-    s = strip_raw(html)
-    s = F.regexp_replace(s, tags_re([*LINE_TAGS, "br"]), BREAK)
-    s = F.regexp_replace(s, TAG_RE, "")
-    s = F.regexp_replace(s, SPACE_RE, " ")
-    s = F.regexp_replace(s, f" ?{BREAK}[{BREAK} ]*", "\n")
+    s = map_tags(
+        html, lambda tok, name: F.when(name.isin(*LINE_NAMES, "br"), BREAK).otherwise("")
+    )
+    s = F.regexp_replace(squeeze_space(s), f" ?{BREAK}[{BREAK} ]*", "\n")
     return trim_space(decode_entities(s))
 
 
@@ -157,7 +185,7 @@ def page_text(html: Column) -> Column:
 @reused
 def document_title(html: Column) -> Column:
     raw = F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1)
-    return trim_space(F.regexp_replace(decode_entities(raw), SPACE_RE, " "))
+    return trim_space(squeeze_space(decode_entities(raw)))
 
 
 # ------------------------------------------------------------------- regions
@@ -236,7 +264,9 @@ def _region_pieces(
 
 
 def fragment_drop_regions(html: Column, tags: tuple[str, ...] = DROPPED_TAGS) -> Column:
-    return _region_pieces(strip_raw(html), tags_re(tags), lambda part: F.lit(True), inside=False)
+    """``drop_regions`` for protected HTML: scripts and styles first, then the others."""
+    others = tuple(t for t in tags if t not in ("script", "style"))
+    return _region_pieces(strip_raw(html), tags_re(others), lambda part: F.lit(True), inside=False)
 
 
 @reused
@@ -294,6 +324,10 @@ BLOCK_TYPE = "struct<html:string,words:int,link_words:int,inside:boolean,tag:str
 KEPT_NAMES = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote")
 
 
+def _may_link(block: Column) -> Column:
+    return block.contains("<a") | block.contains("<A")
+
+
 @reused
 def text_blocks(html: Column) -> Column:
     """Non-empty text blocks of a page with word and link-word counts.
@@ -310,10 +344,11 @@ def text_blocks(html: Column) -> Column:
                 .when(landmark, state["depth"] + 1)
                 .otherwise(state["depth"])
             )
-            last = F.regexp_extract(block, LAST_LINK_TAG, 1)
-            link = F.when(block.rlike(r"(?i)</?a[\s>]"), ~last.startswith("</")).otherwise(
-                state["link"]
-            )
+            last = F.when(
+                _may_link(block) | block.contains("</a") | block.contains("</A"),
+                F.regexp_extract(block, LAST_LINK_TAG, 1),
+            ).otherwise("")
+            link = F.when(last != "", ~last.startswith("</")).otherwise(state["link"])
             return F.struct(
                 depth.alias("depth"), link.alias("link"), state["link"].alias("carried")
             )
@@ -327,7 +362,7 @@ def text_blocks(html: Column) -> Column:
             F.regexp_extract_all(source, F.lit(LINK_CONTENT), F.lit(1)), " "
         )
         link_words = F.when(
-            source.rlike(r"(?i)<a[\s>]"), count_words(F.regexp_replace(links, TAG_RE, ""))
+            state["carried"] | _may_link(block), count_words(F.regexp_replace(links, TAG_RE, ""))
         ).otherwise(0)
         tag = F.when(block.startswith("</"), "").otherwise(token_tag(block))
         return F.struct(

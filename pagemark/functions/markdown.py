@@ -14,12 +14,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemark.dialect import (
-    DROPPED_TAGS, FRAGMENT_JAVA, INLINE_SPACE_CHARS, LINE_TAGS, SPACE_RE, TAG_RE, tags_re,
+    DROPPED_TAGS, FRAGMENT_JAVA, INLINE_SPACE_CHARS, LINE_TAGS, TAG_RE, tags_re,
 )
 from pagemark.functions.arrays import join, let, reused, running
 from pagemark.functions.html import (
-    _after_first_tag, _cut, attr, decode_entities, fragment_drop_regions, protect, token_tag,
-    trim_space,
+    LINE_NAMES, _after_first_tag, _cut, attr, decode_entities, fragment_drop_regions, map_tags,
+    protect, squeeze_space, token_tag, trim_space,
 )
 from pagemark.functions.languages import detect_code_language, lang_from_class
 
@@ -33,20 +33,26 @@ QUOTE, QUOTE_END = "\x17", "\x18"
 GLUE, PAD = "\x19", "\x1a"      # joins a bullet to its text; one column of indent
 BREAKS = f"{PARA}{LINE}{BR}"
 
-HREF = r"""[\s"'/]href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-TITLE = r"""[\s"'/]title\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-TITLED_LINK = rf"(?i)<a(?=[^>]*{TITLE})[^>]*?{HREF}[^>]*>"
 PRE = r"(?is)<pre(?:\s[^>]*)?>.*?(?:</pre\s*>|\z)"
 INNER_TABLE = r"(?i)<table(?:\s[^>]*)?>(?:[^<]++|<(?!/?table[\s>]))*+</table\s*>"
 CELL = r"(?i)<t[dh](?:\s[^>]*)?>"
-PARAGRAPH_TAGS = tuple(t for t in LINE_TAGS if t not in ("hr", "pre", "blockquote"))
 
+def _has(text: Column, *needles: str) -> Column:
+    found = F.contains(text, F.lit(needles[0]))
+    for needle in needles[1:]:
+        found = found | F.contains(text, F.lit(needle))
+    return found
 
-def _where(condition: str, changed: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    """Apply ``changed`` only to strings that match ``condition``."""
-    return lambda text: let(
-        text, lambda t: F.when(t.rlike(condition), changed(t)).otherwise(t)
-    )
+
+def _where(needles: tuple[str, ...], changed: Callable[[Column], Column],
+           any_case: bool = False) -> Callable[[Column], Column]:
+    """Apply ``changed`` only to strings that contain one of ``needles``."""
+    def test(text: Column) -> Column:
+        if any_case:
+            return let(F.lower(text), lambda low: _has(low, *needles))
+        return _has(text, *needles)
+
+    return lambda text: let(text, lambda t: F.when(test(t), changed(t)).otherwise(t))
 
 
 def _tail(array: Column) -> Column:
@@ -152,20 +158,6 @@ def _tables(html: Column) -> Column:
     )
 
 
-def _images(html: Column) -> Column:
-    pieces = F.split(F.regexp_replace(html, r"(?i)<img(?:\s[^>]*)?>", CUT + "$0" + CUT), CUT)
-
-    def image(p: Column) -> Column:
-        return F.concat(
-            F.lit(IMG), F.coalesce(attr(p, "alt"), F.lit("")),
-            F.lit(IMG_MID), F.coalesce(attr(p, "src"), F.lit("")), F.lit(IMG_END),
-        )
-
-    return join(
-        F.transform(pieces, lambda p: F.when(p.rlike("(?i)^<img"), image(p)).otherwise(p))
-    )
-
-
 def _quotes(md: Column) -> Column:
     """Prefix the lines between quote markers."""
     def step(depth: Column, line: Column) -> Column:
@@ -235,33 +227,47 @@ def _fence(pre: Column, detect_unlabelled: bool) -> Column:
 
 # ---------------------------------------------------------------- running text
 
-def _rare_tags(s: Column) -> Column:
-    s = F.regexp_replace(s, r"(?i)<(?:em|i)(?:\s[^>]*)?>", EM)
-    s = F.regexp_replace(s, r"(?i)</(?:em|i)\s*>", EM_END)
-    s = F.regexp_replace(s, r"(?i)<(?:code|kbd|samp)(?:\s[^>]*)?>", CODE)
-    s = F.regexp_replace(s, r"(?i)</(?:code|kbd|samp)\s*>", CODE_END)
-    s = F.regexp_replace(s, r"(?i)</?(?:del|s)(?:\s[^>]*)?>", "~~")
-    s = F.regexp_replace(s, r"(?i)<hr(?:[\s/][^>]*)?>", f"{PARA}---{PARA}")
-    s = F.regexp_replace(s, r"(?i)<blockquote(?:\s[^>]*)?>", f"{PARA}{QUOTE}{PARA}")
-    return F.regexp_replace(s, r"(?i)</blockquote\s*>", f"{PARA}{QUOTE_END}{PARA}")
+def _mark_tags(html: Column) -> Column:
+    """Every tag to a marker or to nothing."""
+    def link(tok: Column) -> Column:
+        href = attr(tok, "href")
+        title = F.when(_has(tok, "title"), attr(tok, "title"))
+        named = F.when(title.isNotNull(), F.concat(F.lit(' "'), title, F.lit('"'))).otherwise("")
+        return F.when(
+            href.isNotNull(), F.concat(F.lit(LINK), href, named, F.lit(LINK_MID))
+        ).otherwise("")
 
+    def image(tok: Column) -> Column:
+        return F.concat(
+            F.lit(IMG), F.coalesce(attr(tok, "alt"), F.lit("")),
+            F.lit(IMG_MID), F.coalesce(attr(tok, "src"), F.lit("")), F.lit(IMG_END),
+        )
 
-def _mark_tags(s: Column) -> Column:
-    """Every tag to a marker or to nothing."""
-    s = _where(r"(?i)<img[\s/>]", _images)(s)
-    s = _where(r"(?i)<(?:em|i|code|kbd|samp|del|s|hr|blockquote)[\s/>]", _rare_tags)(s)
-    s = _where(
-        TITLED_LINK,
-        lambda t: F.regexp_replace(t, TITLED_LINK, LINK + '$3$4$5 "$1$2"' + LINK_MID),
-    )(s)
-    s = F.regexp_replace(s, rf"(?i)<a(?=\s)[^>]*?{HREF}[^>]*>", f"{LINK}$1$2$3{LINK_MID}")
-    s = F.regexp_replace(s, r"(?i)</a\s*>", LINK_END)
-    s = F.regexp_replace(s, r"(?i)<(?:strong|b)(?:\s[^>]*)?>", STRONG)
-    s = F.regexp_replace(s, r"(?i)</(?:strong|b)\s*>", STRONG_END)
-    s = F.regexp_replace(s, r"(?i)<br\s*/?>", BR)
-    s = F.regexp_replace(s, r"(?i)<h([1-6])(?:\s[^>]*)?>", f"{PARA}{HEAD}$1")
-    s = F.regexp_replace(s, tags_re(PARAGRAPH_TAGS), PARA)
-    return F.regexp_replace(s, TAG_RE, "")
+    def marker(tok: Column, name: Column) -> Column:
+        closing = tok.startswith("</")
+        heading = F.concat(F.lit(PARA + HEAD), F.substring(name, 2, 1))
+
+        def pair(opening: str, ending: str) -> Column:
+            return F.when(closing, ending).otherwise(opening)
+
+        return (
+            F.when((name == "a") & closing, LINK_END)
+            .when(name == "a", link(tok))
+            .when(name.isin("b", "strong"), pair(STRONG, STRONG_END))
+            .when(name.isin("i", "em"), pair(EM, EM_END))
+            .when(name == "br", BR)
+            .when(name.rlike("^h[1-6]$"), F.when(closing, PARA).otherwise(heading))
+            .when(name == "hr", f"{PARA}---{PARA}")
+            .when(name == "blockquote",
+                  pair(f"{PARA}{QUOTE}{PARA}", f"{PARA}{QUOTE_END}{PARA}"))
+            .when(name.isin(*LINE_NAMES), PARA)
+            .when(name.isin("code", "kbd", "samp"), pair(CODE, CODE_END))
+            .when(name.isin("del", "s"), "~~")
+            .when(name == "img", image(tok))
+            .otherwise("")
+        )
+
+    return map_tags(html, marker)
 
 
 def _close_at_block_end(s: Column, opening: str, closing: str) -> Column:
@@ -325,30 +331,39 @@ def _links(s: Column) -> Column:
 
 
 def _running_text(html: Column, escape: bool) -> Column:
-    s = F.regexp_replace(_mark_tags(html), SPACE_RE, " ")
-    s = decode_entities(s)
+    s = decode_entities(squeeze_space(_mark_tags(html)))
     if escape:
-        s = _where("[*_]", _escape)(s)
-    s = _where(f"{STRONG}", lambda t: _emphasis(t, STRONG, STRONG_END, "**"))(s)
-    s = _where(f"{EM}", lambda t: _emphasis(t, EM, EM_END, "*"))(s)
+        s = _where(("*", "_"), _escape)(s)
+    s = _where((STRONG,), lambda t: _emphasis(t, STRONG, STRONG_END, "**"))(s)
+    s = _where((EM,), lambda t: _emphasis(t, EM, EM_END, "*"))(s)
     s = _where(
-        f"{IMG}",
+        (IMG,),
         lambda t: F.regexp_replace(
             t, f"{IMG}([^{IMG_MID}]*){IMG_MID}([^{IMG_END}]*){IMG_END}", "![$1]($2)"
         ),
     )(s)
-    s = _where(f"{LINK}", _links)(s)
-    s = F.regexp_replace(s, f"{CODE} *{CODE_END}|{STRONG_END}|{EM_END}|{LINK_END}", "")
-    s = F.translate(s, CODE + CODE_END, "``")
-    s = F.regexp_replace(s, f"{GLUE}[ {BREAKS}]*", "")
+    s = _where((LINK,), _links)(s)
+    s = _where(
+        (CODE, CODE_END, STRONG_END, EM_END, LINK_END),
+        lambda t: F.translate(
+            F.regexp_replace(t, f"{CODE} *{CODE_END}|{STRONG_END}|{EM_END}|{LINK_END}", ""),
+            CODE + CODE_END, "``",
+        ),
+    )(s)
+    s = _where((GLUE,), lambda t: F.regexp_replace(t, f"{GLUE}[ {BREAKS}]*", ""))(s)
+    s = _where((HEAD,), _headings)(s)
+    s = F.regexp_replace(s, f"[ {LINE}{BR}]*{PARA}[ {BREAKS}]*", "\n\n")
+    s = _where((LINE,), lambda t: F.regexp_replace(t, f"[ {BR}]*{LINE}[ {LINE}{BR}]*", "\n"))(s)
+    s = _where((BR,), lambda t: F.regexp_replace(t, f" ?{BR} ?", "  \n"))(s)
+    return trim_space(F.replace(s, F.lit(PAD), F.lit(" ")))
+
+
+def _headings(s: Column) -> Column:
     s = F.regexp_replace(s, f"{HEAD}[1-6] ?{PARA}", PARA)
     s = F.regexp_replace(s, f"({HEAD}[1-6]) ", "$1")
     for level in range(1, 7):
         s = F.replace(s, F.lit(f"{HEAD}{level}"), F.lit("#" * level + " "))
-    s = F.regexp_replace(s, f"[ {LINE}{BR}]*{PARA}[ {BREAKS}]*", "\n\n")
-    s = F.regexp_replace(s, f"[ {BR}]*{LINE}[ {LINE}{BR}]*", "\n")
-    s = F.regexp_replace(s, f" ?{BR} ?", "  \n")
-    return trim_space(F.translate(s, PAD, " "))
+    return s
 
 
 @reused
@@ -363,8 +378,8 @@ def html_to_markdown(
     ``detect_unlabelled`` also labels code whose class names no language.
     """
     s = fragment_drop_regions(protect(html), dropped)
-    s = _where(r"(?i)<(?:li|ul|ol)[\s/>]", _lists)(s)
-    s = _where(r"(?i)<table[\s/>]", _tables)(s)
+    s = _where(("<li", "<ul", "<ol"), _lists, any_case=True)(s)
+    s = _where(("<table",), _tables, any_case=True)(s)
     pieces = F.split(F.regexp_replace(s, PRE, CUT + "$0" + CUT), CUT)
 
     def render(p: Column) -> Column:
@@ -373,7 +388,7 @@ def html_to_markdown(
         )
 
     md = F.array_join(F.filter(F.transform(pieces, render), lambda p: p != ""), "\n\n")
-    return F.when(html != "", _where(QUOTE, _quotes)(md))
+    return F.when(html != "", _where((QUOTE,), _quotes)(md))
 
 
 @reused
@@ -447,9 +462,7 @@ def fix_fragmented_code(md: Column) -> Column:
         )
         return F.when(is_fragment(p), fenced).otherwise(p)
 
-    return _where(
-        r"`\p{Nd}", lambda t: join(F.transform(_fragment_pieces(t), piece))
-    )(md)
+    return _where(("`",), lambda t: join(F.transform(_fragment_pieces(t), piece)))(md)
 
 
 @reused
