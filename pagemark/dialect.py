@@ -30,16 +30,17 @@ TRIM_RE = f"^[{SPACE_CHARS}]+|[{SPACE_CHARS}]+$"
 
 # ---------------------------------------------------------------- HTML
 TAG_NAME = r"[a-zA-Z][a-zA-Z0-9:-]*"
+# alternatives share their first character, so a text position is ruled out at once
 RAW_RE = (
-    r"(?is)<script\b.*?(?:</script\s*>|\z)"
-    r"|<style\b.*?(?:</style\s*>|\z)"
-    r"|<!--.*?(?:-->|\z)"
-    r"|<[!?][^>]*>"
+    r"(?is)<(?:script\b.*?(?:</script\s*>|\z)"
+    r"|style\b.*?(?:</style\s*>|\z)"
+    r"|!--.*?(?:-->|\z)"
+    r"|[!?][^>]*>)"
 )
 TAG_RE = r"</?[a-zA-Z][^>]*>"
 TOKEN_RE = RAW_RE + "|" + TAG_RE + r"|[^<]+|<"
 # ``>`` inside a quoted attribute value, which would end the tag too early
-QUOTED_GT_RE = r"""=\s*"[^"<>]*>[^"<]*"|=\s*'[^'<>]*>[^'<]*'"""
+QUOTED_GT_RE = r"""=\s*(?:"[^"<>]*>[^"<]*"|'[^'<>]*>[^'<]*')"""
 QUOTED_GT_DOUBLE_JAVA = r"""(\G(?!\A)|=\s*")([^"<>]*)>(?=[^"<]*")"""
 QUOTED_GT_SINGLE_JAVA = r"""(\G(?!\A)|=\s*')([^'<>]*)>(?=[^'<]*')"""
 
