@@ -57,6 +57,13 @@ def latest_fetches(prepared: DataFrame) -> DataFrame:
     return best.select("url", "f.*")
 
 
+def without_meta(captures: DataFrame) -> DataFrame:
+    """Of a capture's metadata only the time goes on, so the rest is not shuffled."""
+    if "meta" not in captures.columns:
+        return captures
+    return captures.withColumn("captured_at", F.col("meta.captured_at")).drop("meta")
+
+
 def join_candidates(captures: DataFrame, prepared: DataFrame) -> DataFrame:
     """Pair every capture with the re-fetch of the same URL, if there is one.
 
@@ -67,7 +74,7 @@ def join_candidates(captures: DataFrame, prepared: DataFrame) -> DataFrame:
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumn("_url_hash", F.xxhash64("url"))
 
-    return keyed(captures).join(keyed(prepared), ["url", "_url_hash"], "left").drop("_url_hash")
+    return keyed(without_meta(captures)).join(keyed(prepared), ["url", "_url_hash"], "left").drop("_url_hash")
 
 
 def route() -> Column:
@@ -111,7 +118,7 @@ def render(decided: DataFrame, **options) -> DataFrame:
     )
     staged = decided.withColumn("chosen_html", chosen_html)
     converted = fix_fragmented_code(
-        convert(F.col("chosen_html"), F.col("title"), F.col("url"), F.col("meta.captured_at"),
+        convert(F.col("chosen_html"), F.col("title"), F.col("url"), F.col("captured_at"),
                 **options)
     )
     raw = staged.withColumn("raw_markdown", converted)
@@ -134,7 +141,7 @@ def shape_results(rendered: DataFrame) -> DataFrame:
         "url", "title", d["chosen"].alias("chosen"), "route", "blocker", "markdown",
         d["score_diff"].alias("score_diff"), d["overlap"].alias("overlap"),
         d["blocker_penalty"].alias("blocker_penalty"), diagnostics.alias("diagnostics"),
-        F.col("meta.captured_at").alias("captured_at"),
+        "captured_at",
     )
 
 

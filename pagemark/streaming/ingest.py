@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemark.dialect import FETCH_TIMEOUT
-from pagemark.plans.ingest import answer, join_candidates, prepare_fetches
+from pagemark.plans.ingest import answer, join_candidates, prepare_fetches, without_meta
 
 
 def read_stream(spark: SparkSession, path: str, schema, file_format: str = "parquet",
@@ -36,9 +36,7 @@ def join_fetch_stream(
     has passed, which is the fetch-failed route. Fetches are reduced before the join,
     so the join state holds extractions and not raw pages.
     """
-    left = captures.withColumn("captured_at", F.col("meta.captured_at")).withWatermark(
-        "captured_at", watermark
-    )
+    left = without_meta(captures).withWatermark("captured_at", watermark)
     right = (
         prepare_fetches(fetches)
         .withColumnRenamed("url", "fetch_url")
@@ -49,7 +47,7 @@ def join_fetch_stream(
         & (F.col("fetched_at") >= F.col("captured_at"))
         & (F.col("fetched_at") <= F.col("captured_at") + F.expr(f"interval {timeout}"))
     )
-    return left.join(right, in_time, "left_outer").drop("fetch_url", "captured_at")
+    return left.join(right, in_time, "left_outer").drop("fetch_url")
 
 
 def ingest_streams(captures: DataFrame, fetches: DataFrame, timeout: str = FETCH_TIMEOUT,
