@@ -20,7 +20,7 @@ from pagemark.catalog.queries import QUERIES
 HEADLINE = (
     "html_tokens", "visible_text", "landmark_articles", "density_articles", "article_scores",
     "html_to_markdown", "article_markdown", "links_normalized", "tracking_stripped",
-    "semantic_overlap", "semantic_overlap_exploded", "compare_and_decide", "code_languages",
+    "semantic_overlap", "compare_and_decide", "code_languages",
     "blocker_flags", "ingest",
 )
 
@@ -28,7 +28,7 @@ HEADLINE = (
 def main() -> None:
     directory = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("pagemark-bench")
         .config("spark.sql.shuffle.partitions", cpus)
@@ -47,6 +47,7 @@ def main() -> None:
             QUERIES[name](spark, directory).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - begin)
         seconds[name] = round(statistics.median(times[1:]), 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline queries, total of medians", "value": round(sum(seconds.values()), 3),
         "unit": "sec", "queries": seconds, "sf": os.path.basename(directory.rstrip("/")),
