@@ -1,4 +1,4 @@
-"""Two helpers the column functions are built with: ``let`` and ``running``."""
+"""Helpers the column functions are built with, above all ``let`` and ``running``."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CHUNK = 256
@@ -119,15 +119,3 @@ def running(
         return F.when(F.size(bound) > 0, F.flatten(chunks["out"])).otherwise(empty)
 
     return let(items, over)
-
-
-def keep_where(
-    df: DataFrame, value: Column, name: str, condition: Callable[[Column], Column]
-) -> DataFrame:
-    """Add column ``name`` and keep only the rows whose value meets ``condition``.
-
-    A ``filter`` above a computed column is pushed below it with the expression
-    copied, so a costly value would be computed twice. A generator over a zero- or
-    one-element array computes it once.
-    """
-    return df.select("*", F.explode(F.filter(F.array(value), condition)).alias(name))
