@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemark.llm import decontaminate
+import public_tokenizers
+from pagemark.llm import bpe, decontaminate, simhash
 from pagemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +72,24 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN covered USING (row_id) LEFT JOIN found USING (row_id)
 """
+
+
+@query
+def op5_simhash(spark, sf_dir):
+    """Near-duplicate groups of whole documents: four-word shingles, four bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+@query
+def op10_byte_bpe(spark, sf_dir):
+    """Ids of whole documents, and the bytes that they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(documents, ranks, public_tokenizers.PATTERN).drop("text")
+    return bpe.decode(ids, ranks, public_tokenizers.PATTERN).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
