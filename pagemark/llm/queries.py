@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-from pagemark.llm import bpe, decontaminate, simhash
-from pagemark.llm.common import table
+from pagemark.llm import bpe, decontaminate, planes, sharding, simhash
+from pagemark.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +93,24 @@ def op10_byte_bpe(spark, sf_dir):
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op6_token_planes(spark, sf_dir):
+    """Whole documents as written and read token planes."""
+    path = scratch(spark, "token-planes")
+    planes.write_planes(
+        table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json")
+    )
+    return planes.read_planes(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
+@query
+def op9_sharding(spark, sf_dir):
+    """All documents in 16 shards of nearly equal bytes, equal texts together."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

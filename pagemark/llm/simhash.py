@@ -79,16 +79,21 @@ def majority_bits(hashes: list[list[int]]) -> np.ndarray:
 
 
 def fingerprints(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fingerprint): the 64 bits as a signed number."""
+    """(doc_id, text_key, fingerprint): a hash of the text, the 64 bits as a signed number."""
     def run(batches):
         for batch in slices(batches):
             hashes = [shingle_hashes(t, width) for t in batch.column("text").to_pylist()]
             bits = pa.array(majority_bits(hashes).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), bits], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), bits],
+                ["doc_id", "text_key", "fingerprint"],
+            )
 
     prepare(documents.sparkSession)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(run, "doc_id long, fingerprint long")
+    texts = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text"
+    )
+    return texts.mapInArrow(run, "doc_id long, text_key long, fingerprint long")
 
 
 def variant_keys(column: str, distance: int = DISTANCE):
@@ -154,27 +159,40 @@ def link_fingerprints(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fingerprint, component_id): the smallest id that links reach from the document."""
+    """(doc_id, text_key, fingerprint, component_id, root) for every document.
+
+    ``component_id`` is the smallest id that links reach from the document, ``root`` a
+    fingerprint that names its group.
+    """
     prints = settle(fingerprints(documents, width), "simhash-prints")
     links = link_fingerprints(prints, distance)
     least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    rooted = least.join(links, "fingerprint", "left").select(
+    rooted = settle(least.join(links, "fingerprint", "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
-    )
-    rooted = settle(rooted, "simhash-roots")
+    ), "simhash-roots")
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = settle(rooted.join(groups, "root").select("fingerprint", "component_id"), "simhash-groups")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = settle(
+        rooted.join(groups, "root").select("fingerprint", "root", "component_id"), "simhash-groups"
+    )
+    return prints.join(named, "fingerprint").select(
+        "doc_id", "text_key", "fingerprint", "component_id", "root"
+    )
 
 
 def keep_one(documents: DataFrame, width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
-    """One document of each group: that of the smallest id, with all its columns.
+    """One document of each group, that of the smallest id, with all its columns.
 
-    Of rows that repeat an id within a group one stays.
+    Of rows of a group that repeat the id, the one with the smaller text hash stays; an
+    id that is in two groups stays in both.
     """
-    found = near_duplicates(documents, width, distance).select("doc_id", "component_id")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_kept")
-    ).distinct()
-    rows = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    kept = near_duplicates(documents, width, distance).groupBy("root").agg(first).select(
+        F.col("first.doc_id").alias("_kept_id"), F.col("first.text_key").alias("_kept_text")
+    )
+    keyed = documents.withColumn("_kept_id", F.col("doc_id").cast("long")).withColumn(
+        "_kept_text", F.xxhash64("text")
+    )
+    same = F.col("d._kept_id").eqNullSafe(F.col("k._kept_id")) & (
+        F.col("d._kept_text") == F.col("k._kept_text"))
+    rows = keyed.alias("d").join(kept.alias("k"), same, "left_semi")
+    return rows.dropDuplicates(["_kept_id", "_kept_text"]).select(*documents.columns)
