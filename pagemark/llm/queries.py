@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemark.llm import bpe, decontaminate, planes, sharding, simhash
+from pagemark.llm import bpe, decontaminate, lines, planes, sharding, simhash
 from pagemark.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,9 @@ def op9_sharding(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op8_line_dedup(spark, sf_dir):
+    """Every line of 20 characters or more: the first line of its class, and whether it stays."""
+    return lines.line_classes(table(spark, sf_dir, "documents")).drop("text_key")
