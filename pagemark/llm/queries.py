@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemark.llm import bpe, decontaminate, lines, planes, sharding, simhash
+from pagemark.llm import bpe, decontaminate, langid, lines, planes, sharding, simhash
 from pagemark.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,14 @@ def op9_sharding(spark, sf_dir):
 def op8_line_dedup(spark, sf_dir):
     """Every line of 20 characters or more: the first line of its class, and whether it stays."""
     return lines.line_classes(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query
+def op3_language(spark, sf_dir):
+    """The language of every whole text, learned from four fifths of the labelled ones."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn(
+        "held_out", langid.held_out("doc_id")
+    )
+    profiles = langid.learn(documents.filter(~F.col("held_out")))
+    found = langid.identify(documents.drop("lang"), profiles)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
