@@ -8,8 +8,8 @@ on them finds every pair that has to be verified.
 
 Work is done on distinct fingerprints, so copies never meet in a join. Within a key, the
 fingerprints are first linked to the smallest one, which joins dense groups without
-their pairs. Only keys that still hold several components are joined, and there only
-members outside one of the components with the members of other components. No link is
+their pairs. Only keys of three or more members that still hold several components are
+joined, and there only members outside one of the components with the members of other components. No link is
 lost: two linked fingerprints share a key, and are in one component or are compared.
 Nothing is collected, capped or broadcast. Keys have 20 or 21 free bits, so beyond some
 ten million distinct fingerprints the rows compared grow with their square; that is a
@@ -120,14 +120,15 @@ def link_fingerprints(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     shared = settle(
         keyed.select(
             "key", "fingerprint", F.min("fingerprint").over(same).alias("least"),
-            F.max("fingerprint").over(same).alias("most"),
-        ).filter("least < most").drop("most"), "simhash-keys",
+            F.count("*").over(same).alias("members"),
+        ).filter("members > 1"), "simhash-keys",
     )
     star = shared.filter((F.col("fingerprint") != F.col("least")) & near("fingerprint", "least"))
     first = settle(
         components(star.select(F.col("fingerprint").alias("a"), F.col("least").alias("b"))), "simhash-first"
     )
-    grouped = shared.join(
+    # of two members all has been compared
+    grouped = shared.filter("members > 2").join(
         first.withColumnsRenamed({"node": "fingerprint", "component": "root"}), "fingerprint", "left"
     ).select("key", "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
     mixed = settle(
