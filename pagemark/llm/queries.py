@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemark.llm import bpe, decontaminate, langid, lines, planes, sharding, simhash
+from pagemark.llm import ann, bpe, decontaminate, langid, lines, planes, sharding, simhash
 from pagemark.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,10 @@ def op3_language(spark, sf_dir):
     profiles = langid.learn(documents.filter(~F.col("held_out")))
     found = langid.identify(documents.drop("lang"), profiles)
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query
+def op1_posting_lists(spark, sf_dir):
+    """The 20 nearest vectors of every twentieth one."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
