@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemark.llm import ann, bpe, decontaminate, langid, lines, planes, sharding, simhash
+from pagemark.llm import ann, bpe, decontaminate, langid, lines, planes, sharding, simhash, tokencount
 from pagemark.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,3 +138,22 @@ def op1_posting_lists(spark, sf_dir):
     """The 20 nearest vectors of every twentieth one."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+@query
+def op4_token_counts(spark, sf_dir):
+    """Token counts of all documents, after three edits of each that its own text and id decide."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chance = lambda salt, top: F.pmod(F.xxhash64("doc_id", "seq", F.lit(salt)), top)
+    n = F.length("text").cast("long")
+    edits = documents.withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(3)))).select(
+        "doc_id", "seq", chance(1, n + 1).alias("at"), chance(2, F.lit(12)).alias("cut"),
+        F.substr("text", chance(3, n + 1).cast("int") + 1, chance(4, F.lit(24)).cast("int")).alias("put"),
+    )
+    trees = tokencount.build_trees(documents, ranks, public_tokenizers.PATTERN)
+    counted = tokencount.apply_edits(trees, edits, ranks, public_tokenizers.PATTERN)
+    return counted.select(
+        "doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_chars", "encoded_chars",
+        F.size("leaf_tokens").alias("n_leaves"), F.sha2("text", 256).alias("text_sha256"),
+    )
