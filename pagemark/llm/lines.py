@@ -6,8 +6,9 @@ is within EDITS of it holds at least one of them unchanged, and only near the sa
 So every line is indexed by its segments, each hashed with its number and the length of
 the line, and probed with those of its substrings that may be a segment of a line up to
 EDITS characters shorter (the places that remain when the edits on both sides of the
-segment are counted). Candidates share a hash and are verified by an edit distance that
-keeps the 2 * EDITS + 1 cells about the diagonal as bits of one number.
+segment are counted). Candidates share a hash and, with an edit changing the counts of
+letters by two at most, have nearly the same letters; they are verified by an edit
+distance that keeps the 2 * EDITS + 1 cells about the diagonal as bits of one number.
 
 Copies of a line are combined before they are indexed. Within a key, lines are first
 linked to the smallest indexed line of the key; only keys that then still hold several
@@ -32,6 +33,8 @@ from pagemark.llm.common import components, settle
 
 EDITS = 2
 MIN_CHARS = 20
+#: An edit changes the counts of letters by two at most.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def _long(value: int) -> Column:
@@ -182,18 +185,31 @@ def shared_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def _texts_of(lines: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(line_id, line) once for each id. Few ids go to the lines, many meet them in a shuffle."""
+    """(line_id, line, counts of letters) once for each id. Few ids go to the lines, many meet them in a shuffle."""
     if ids.count() <= broadcast_rows:
         ids = F.broadcast(ids)
-    return lines.join(ids, "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
+    texts = lines.join(ids, "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
+    counts = [
+        (F.length("line") - F.length(F.translate("line", x + x.upper(), ""))).alias(x) for x in LETTERS
+    ]
+    return texts.select("line_id", "line", *counts)
+
+
+def _named(texts: DataFrame, side: str) -> DataFrame:
+    return texts.withColumnsRenamed({x: f"{side}_{x}" for x in LETTERS} | {"line": f"line_{side}"})
+
+
+def _alike(edits: int) -> Column:
+    """Whether the letters of both sides are such that ``edits`` can be enough."""
+    return sum((F.abs(F.col(f"a_{x}") - F.col(f"b_{x}")) for x in LETTERS), F.lit(0)) <= 2 * edits
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """Those of the pairs (a, b, ...) whose lines are within ``edits``."""
-    left = texts.withColumnsRenamed({"line_id": "a", "line": "line_a"})
-    right = texts.withColumnsRenamed({"line_id": "b", "line": "line_b"})
-    near = edit_distance("line_a", "line_b", edits) <= edits
-    return pairs.join(left, "a").join(right, "b").filter(near).drop("line_a", "line_b")
+    left = _named(texts, "a").withColumnRenamed("line_id", "a")
+    right = _named(texts, "b").withColumnRenamed("line_id", "b")
+    near = _alike(edits) & (edit_distance("line_a", "line_b", edits) <= edits)
+    return pairs.join(left, "a").join(right, "b").filter(near).select(*pairs.columns)
 
 
 def link_lines(lines: DataFrame, edits: int = EDITS, broadcast_rows: int = 500_000) -> DataFrame:
@@ -208,21 +224,27 @@ def link_lines(lines: DataFrame, edits: int = EDITS, broadcast_rows: int = 500_0
     rooted = first.withColumnsRenamed({"node": "line_id", "component": "root"})
     of_main = first.withColumnsRenamed({"node": "main", "component": "main_root"})
     grouped = settle(
-        shared.join(rooted, "line_id", "left").join(of_main, "main", "left").select(
+        shared.join(rooted, "line_id", "left").join(of_main, "main", "left").join(
+            texts.drop("line"), "line_id"
+        ).select(
             "key", "line_id", "own", F.coalesce("root", "line_id").alias("root"),
-            F.coalesce("main_root", "main").alias("main_root"),
+            F.coalesce("main_root", "main").alias("main_root"), *LETTERS,
         ), "line-grouped",
     )
     outside = F.col("root") != F.col("main_root")
     mixed = grouped.filter(outside).select("key").distinct()
     there = grouped.join(mixed, "key", "left_semi").select(
-        "key", F.col("line_id").alias("b"), F.col("root").alias("root_b"), outside.alias("b_outside")
+        "key", F.col("line_id").alias("b"), F.col("root").alias("root_b"), outside.alias("b_outside"),
+        *(F.col(x).alias(f"b_{x}") for x in LETTERS),
     )
     owners = grouped.filter("own").select(
-        "key", F.col("line_id").alias("a"), F.col("root").alias("root_a"), outside.alias("a_outside")
+        "key", F.col("line_id").alias("a"), F.col("root").alias("root_a"), outside.alias("a_outside"),
+        *(F.col(x).alias(f"a_{x}") for x in LETTERS),
     )
     across = settle(
-        owners.join(there, "key").filter("root_a != root_b and (a_outside or b_outside)").select(
+        owners.join(there, "key").filter(
+            F.expr("root_a != root_b and (a_outside or b_outside)") & _alike(edits)
+        ).select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"),
             F.greatest("root_a", "root_b").alias("high"), F.least("root_a", "root_b").alias("low"),
         ).distinct(), "line-across",
