@@ -1,24 +1,61 @@
 """From raw documents to token ids: the stages of the corpus pipeline, in their order.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as a
-table in the shared folder and read again as the documents of the next stage.
+table in the shared folder and read again as the documents of the next stage. All stages
+but the last return the columns of the documents they were given.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagemark.llm import decontaminate
+from pagemark.llm import bpe, decontaminate, langid, lines, simhash
 from pagemark.llm.common import settle, table
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language, that is null texts and those without a letter, go.
+
+    Languages are learned from the labelled documents themselves.
+    """
+    profiles = langid.learn(docs)
+    found = langid.identify(docs, profiles)
+    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-equal lines the first stays; documents with nothing left but white space go."""
+    return lines.dedupe_lines(docs).filter(F.col("text").rlike("\\S"))
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that of the smallest id."""
+    return simhash.keep_one(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window stay."""
     return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their ids (little-endian unsigned 32-bit numbers), decoded once to check."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
+    return encoded.select(
+        *docs.columns, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        (F.col("decoded") == F.col("text").cast("binary")).alias("decodes"),
+    )
+
+
 STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_dedup", simhash_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("byte_bpe", byte_bpe),
 ]
 #: SQL cannot express the stages; tests hold them against a brute-force version.
 ORACLE_SQL = None
