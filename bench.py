@@ -32,6 +32,7 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("pagemark-bench")
         .config("spark.sql.shuffle.partitions", cpus)
+        .config("pagemark.partitions", cpus)  # the tables are single small files
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")

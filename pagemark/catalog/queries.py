@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +17,8 @@ from pagemark.functions.sql import register_sql
 from pagemark.operators import overlap, tables, templates
 from pagemark.plans import ingest as job
 from pagemark.sources import sinks, validate
-from pagemark.sources.tables import parse_captures, read_pages, shape_fetches, spread
+from pagemark.sources.tables import parse_captures, shape_fetches
+from pagemark.sources.tables import read_pages as read_pages_table
 from pagemark.streaming import ingest as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,9 +30,19 @@ def query(function: Query) -> Query:
     return function
 
 
+def _partitions(spark: SparkSession) -> int | None:
+    """Set by whoever runs the queries on tables of one small file, as the bench does."""
+    return int(spark.conf.get("pagemark.partitions", "0")) or None
+
+
+def read_pages(spark: SparkSession, directory: str) -> DataFrame:
+    return read_pages_table(spark, directory, _partitions(spark))
+
+
 def _documents(spark: SparkSession, directory: str) -> DataFrame:
     documents = spark.read.parquet(f"{directory}/documents.parquet").select("doc_id", "text")
-    return spread(documents, "doc_id")
+    partitions = _partitions(spark)
+    return documents.repartition(partitions, "doc_id") if partitions else documents
 
 
 # --------------------------------------------------------------- sources, sinks
@@ -172,15 +184,9 @@ def extraction_picked(spark, directory):
 @query
 def extraction_methods(spark, directory):
     pages = read_pages(spark, directory)
-    return tables.extractions(pages).groupBy("page_id").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "method"))),
-                lambda e: e["method"],
-            ),
-            ",",
-        ).alias("methods")
-    )
+    found = pages.select("page_id", extract.successful_methods(F.col("html")).alias("methods"))
+    return found.filter(F.size("methods") > 0).select(
+        "page_id", F.array_join("methods", ",").alias("methods"))
 
 
 @query
@@ -517,6 +523,15 @@ def ingest(spark, directory):
     return _flat(job.ingest(captures, variants.fetches(pages)))
 
 
+@query
+def latest_fetches(spark, directory):
+    """The newest of several fetches of each URL, be it a success or not."""
+    latest = job.latest_fetches(variants.fetch_log(read_pages(spark, directory)))
+    return latest.select(
+        "url", "status_code", "success", F.unix_seconds("fetched_at").alias("fetched_at")
+    )
+
+
 @query
 def run_report(spark, directory):
     report = job.run_report(job.answer(_joined(spark, directory)))
@@ -542,11 +557,14 @@ def quarantined(spark, directory):
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory of the cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        import tempfile
-        base = tempfile.mkdtemp(prefix="pagemark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="pagemark-"))
+        base = context.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query
@@ -554,9 +572,9 @@ def ingest_stream(spark, directory):
     """Captures as a stream against a written table of prepared fetches."""
     folder = scratch(spark, "ingest-stream")
     job.latest_fetches(_prepared(spark, directory)).write.parquet(f"{folder}/prepared")
+    # the table itself is the stream's folder, be it one file or many
     pages = streams.read_stream(
-        spark, directory, "page_id bigint, url string, html string",
-        pathGlobFilter="pages.parquet",
+        spark, f"{directory}/pages.parquet*", "page_id bigint, url string, html string"
     )
     results = streams.ingest_stream(
         variants.captures(pages).drop("page_id"), spark.read.parquet(f"{folder}/prepared")

@@ -26,7 +26,8 @@ CAPTCHA_MARKUP = '<div class="g-recaptcha"></div>'
 IFRAME_MARKUP = '<iframe src="https://embed.example.org/player"></iframe>'
 EMPTY_PAGE = "<html><body></body></html>"
 ARTICLE_RE = r"(?s)<article>(.*?)</article>"
-CUT_TEXT = 200
+#: Empty paragraphs that make every fifth capture look sparse, its text being whole.
+SPARSE = "<p></p>" * 300
 
 
 def kind(modulus: int) -> Column:
@@ -89,13 +90,28 @@ def fetched_at() -> Column:
     return F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") + F.col("page_id") % 20)
 
 
+def fetch_log(pages: DataFrame) -> DataFrame:
+    """Three fetches of every URL; the newest is neither always the last row nor a success."""
+    attempt = F.col("attempt")
+    number = F.col("page_id") + attempt
+    ok = number % 4 != 0
+    return pages.select("page_id", "url", F.explode(F.array(*map(F.lit, range(3)))).alias("attempt")).select(
+        "url", F.col("url").alias("final_url"),
+        F.when(ok, F.lit(200) + attempt).otherwise(0).cast("int").alias("status_code"),
+        ok.alias("success"), F.when(~ok, "Request timeout").alias("error"),
+        F.timestamp_seconds(
+            F.lit(1704067200) + F.col("page_id") + (F.col("page_id") * 7 + attempt * 5) % 11
+        ).alias("fetched_at"),
+    )
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """What a browser would have captured of each page."""
     picked = pages.withColumnRenamed("html", "page_html").select(
         "page_id", "url", "page_html",
         F.explode(F.array_compact(F.array(extract.best_extraction(F.col("page_html"))))).alias("e"),
     )
-    text = F.when(kind(5) == 3, F.substring("e.text", 1, CUT_TEXT)).otherwise(F.col("e.text"))
+    markup = F.when(kind(5) == 3, F.concat("e.html", F.lit(SPARSE))).otherwise(F.col("e.html"))
     meta = F.struct(
         captured_at().alias("captured_at"),
         extract.capture_stats(F.col("e.text"), F.col("e.html")).alias("stats"),
@@ -103,8 +119,8 @@ def captures(pages: DataFrame) -> DataFrame:
         F.array(F.col("e.method")).alias("extraction_methods"),
     )
     return picked.select(
-        "page_id", "url", F.col("e.title").alias("title"), F.col("e.html").alias("html"),
-        text.alias("text"), meta.alias("meta"),
+        "page_id", "url", F.col("e.title").alias("title"), markup.alias("html"),
+        F.col("e.text").alias("text"), meta.alias("meta"),
     )
 
 

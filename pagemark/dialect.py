@@ -9,6 +9,8 @@ a possessive loop with a counter and a backtracking one with its call stack.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 # ---------------------------------------------------------------- characters
 # ``\w`` of a Unicode-aware engine, and the whitespace that ``str.split()`` uses.
 WORD = r"[\p{L}\p{N}_]"
@@ -70,7 +72,7 @@ def tags_re(names: tuple[str, ...] | list[str], closing: bool = True) -> str:
     return rf"(?i:<{slash}(?:{'|'.join(names)}))(?:[\s/][^>]*)?>"
 
 
-# named entities decoded in text; the ampersand comes last so that ``&amp;lt;``
+# frequent references, looked up first; the ampersand comes last so that ``&amp;lt;``
 # becomes ``&lt;`` and not ``<``
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
@@ -87,6 +89,9 @@ ENTITIES = (
     ("&ccedil;", "ç"), ("&ntilde;", "ñ"), ("&#38;", "&"), ("&amp;", "&"),
 )
 
+# all named references of HTML, as the standard library lists them
+NAMED_REFERENCES = {f"&{name}": char for name, char in html5.items() if name.endswith(";")}
+
 # ---------------------------------------------------------------- fixed values
 # Limits, weights and word lists that results depend on; they have to equal the
 # values of the engine whose results are matched.

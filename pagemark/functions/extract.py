@@ -200,6 +200,11 @@ def all_extractions(html: Column) -> Column:
     )
 
 
+def successful_methods(html: Column) -> Column:
+    """Names of the methods that succeed on a page, most trusted first."""
+    return F.transform(all_extractions(html), lambda e: e["method"])
+
+
 NO_CONTENT = "no content"
 
 

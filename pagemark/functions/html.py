@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemark.dialect import (
-    BLOCK_TAGS, DROPPED_TAGS, ENTITIES, LINE_TAGS, LOOSE_SPACE_JAVA, NON_SPACE_RE,
+    BLOCK_TAGS, DROPPED_TAGS, ENTITIES, LINE_TAGS, NAMED_REFERENCES, LOOSE_SPACE_JAVA, NON_SPACE_RE,
     QUOTED_GT_DOUBLE_JAVA, QUOTED_GT_RE, QUOTED_GT_SINGLE_JAVA, RAW_RE, SPACE_LITERALS,
     TAG_NAME, TAG_RE, TOKEN_RE, VOID_TAGS, tags_re,
 )
@@ -80,7 +80,13 @@ def token_attrs(tok: Column) -> Column:
 
 def attr(tag: Column, name: str) -> Column:
     """Value of an attribute inside one opening tag; NULL if it is not there."""
-    pattern = rf"""(?is)^<[^>]*?[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    # whole attributes before it are stepped over, so a value is never looked into
+    value_re = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+    other = rf"(?!{name}\s*=)[^\s>/][^\s=>/]*+(?:\s*+=\s*+{value_re})?+"
+    pattern = (
+        rf"(?is)^<[^\s/>]*+(?:[\s/]*+{other})*+[\s/]*+{name}\s*=\s*"
+        r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    )
 
     def value(t: Column) -> Column:
         parts = F.concat(*(F.regexp_extract(t, pattern, i) for i in (1, 2, 3)))
@@ -90,14 +96,21 @@ def attr(tag: Column, name: str) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """Named and numeric character references to characters, in one pass."""
-    named = constant_map(dict(ENTITIES))
+    """Named and numeric character references to characters, in one pass.
+
+    A control character stands for a marker later on, so a number that means one becomes
+    the replacement character.
+    """
+    common = constant_map(dict(ENTITIES))
+    named = constant_map(NAMED_REFERENCES)
 
     def character(code: Column) -> Column:
         """Character of a hexadecimal code point; NULL if there is none."""
         number = F.conv(code, 16, 10).cast("int")
         valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        return F.when(valid, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
+        control = ((number < 32) & ~number.isin(9, 10, 13)) | (number == 127)
+        return F.when(valid & control, "\ufffd").when(
+            valid, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
 
     def number(p: Column) -> Column:
         hexes = F.regexp_extract(p, "^&#[xX]([0-9a-fA-F]{1,6});$", 1)
@@ -105,7 +118,8 @@ def decode_entities(text: Column) -> Column:
         return let(F.when(hexes != "", hexes).otherwise(F.conv(digits, 10, 16)), character)
 
     def piece(p: Column) -> Column:
-        found = F.when(p.startswith("&#"), number(p)).otherwise(F.element_at(named, p))
+        found = F.when(p.startswith("&#"), number(p)).otherwise(
+            F.coalesce(F.element_at(common, p), F.element_at(named, p)))
         return F.when(p == "&amp;", "&").when(
             p.startswith("&"), F.coalesce(found, p)
         ).otherwise(p)

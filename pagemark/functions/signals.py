@@ -16,8 +16,13 @@ HEADING_OPEN, PARAGRAPH_OPEN, ITEM_OPEN = "(?i)<h[1-6]", "(?i)<p>", "(?i)<li>"
 HREF_VALUE = 'href="([^"]+)"'
 
 
+def _known(value: Column) -> Column:
+    """A missing text or page counts as an empty one in every signal."""
+    return F.coalesce(value, F.lit(""))
+
+
 def len_text(text: Column, cap: int = MAX_TEXT_LEN) -> Column:
-    return F.least(F.length(text), F.lit(cap))
+    return F.least(F.length(_known(text)), F.lit(cap))
 
 
 def len_norm(text: Column, cap: int = MAX_TEXT_LEN) -> Column:
@@ -25,27 +30,27 @@ def len_norm(text: Column, cap: int = MAX_TEXT_LEN) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return count_words(text)
+    return count_words(_known(text))
 
 
 def heading_count(html: Column) -> Column:
-    return F.regexp_count(html, F.lit(HEADING_OPEN))
+    return F.regexp_count(_known(html), F.lit(HEADING_OPEN))
 
 
 def paragraph_count(html: Column) -> Column:
     """Counts bare ``<p>`` only, as the score was calibrated on it."""
-    return F.regexp_count(html, F.lit(PARAGRAPH_OPEN))
+    return F.regexp_count(_known(html), F.lit(PARAGRAPH_OPEN))
 
 
 def item_count(html: Column) -> Column:
     """Counts bare ``<li>`` only."""
-    return F.regexp_count(html, F.lit(ITEM_OPEN))
+    return F.regexp_count(_known(html), F.lit(ITEM_OPEN))
 
 
 def density(text: Column, html: Column) -> Column:
     """Words per block, scaled to 0..1."""
     blocks = heading_count(html) + paragraph_count(html) + item_count(html)
-    per_block = count_words(text) / F.greatest(blocks, F.lit(1))
+    per_block = word_count(text) / F.greatest(blocks, F.lit(1))
     return F.least(per_block / F.lit(100), F.lit(1.0))
 
 
@@ -57,7 +62,7 @@ def structure(html: Column) -> Column:
 def link_quality(html: Column) -> Column:
     """Share of double-quoted ``href`` values that are absolute."""
     return let(
-        F.regexp_extract_all(html, F.lit(HREF_VALUE), F.lit(1)),
+        F.regexp_extract_all(_known(html), F.lit(HREF_VALUE), F.lit(1)),
         lambda links: F.when(F.size(links) == 0, 0.0).otherwise(
             F.size(F.filter(links, lambda u: u.startswith("http"))) / F.size(links)
         ),
@@ -65,7 +70,7 @@ def link_quality(html: Column) -> Column:
 
 
 def freshness(text: Column) -> Column:
-    head = F.substring(text, 1, 500)
+    head = F.substring(_known(text), 1, 500)
     dated = head.rlike(DATE_PATTERNS[0])
     for pattern in DATE_PATTERNS[1:]:
         dated = dated | head.rlike(pattern)
@@ -100,7 +105,7 @@ def signals(text: Column, html: Column) -> Column:
             freshness(s["text"]).alias("freshness"),
         )
 
-    inputs = F.struct(text.alias("text"), html.alias("html"))
+    inputs = F.struct(_known(text).alias("text"), _known(html).alias("html"))
     return let(let(inputs, measure), build)
 
 
@@ -108,9 +113,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORDS_RE), F.lit(0))
 
 
-@reused
-def word_ngrams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
-    """Set of all word n-grams of the given sizes, joined by a space."""
+NGRAM_SIZES = (1, 2, 3)
+
+
+def ngrams_of(words_: Column, sizes: tuple[int, ...] = NGRAM_SIZES) -> Column:
+    """Set of all n-grams of an array of words, joined by a space."""
     def grams(ws: Column, n: int) -> Column:
         if n == 1:
             return ws
@@ -120,13 +127,19 @@ def word_ngrams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
         )
         return F.coalesce(made, F.array().cast("array<string>"))
 
-    return let(words(text), lambda ws: F.array_distinct(F.concat(*(grams(ws, n) for n in sizes))))
+    return let(words_, lambda ws: F.array_distinct(F.concat(*(grams(ws, n) for n in sizes))))
+
+
+@reused
+def word_ngrams(text: Column, sizes: tuple[int, ...] = NGRAM_SIZES) -> Column:
+    """Set of all word n-grams of the given sizes, joined by a space."""
+    return ngrams_of(words(text), sizes)
 
 
 @reused
 def semantic_overlap(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the two n-gram sets; 0 if either is empty."""
-    both = F.struct(word_ngrams(a).alias("a"), word_ngrams(b).alias("b"))
+    """Jaccard similarity of the two n-gram sets; 0 if either is empty or missing."""
+    both = F.struct(word_ngrams(_known(a)).alias("a"), word_ngrams(_known(b)).alias("b"))
 
     def jaccard(s: Column) -> Column:
         shared = F.size(F.array_intersect(s["a"], s["b"]))
@@ -164,11 +177,13 @@ def score_of(s: Column, penalty: Column | float = 0.0) -> Column:
     )
 
 
+PENALIZED = ("login_required", "paywall", "captcha", "cross_origin_iframe", "content_too_thin",
+             "csp_blocked")
+
+
 def blocker_penalty(flags: Column) -> Column:
     """Penalty if any flag is set; a failed probe counts as one."""
-    names = ("login_required", "paywall", "captcha", "cross_origin_iframe",
-             "content_too_thin", "csp_blocked")
     hit = F.coalesce(flags["error"], F.lit("")) != ""
-    for name in names:
+    for name in PENALIZED:
         hit = hit | F.coalesce(flags[name], F.lit(False))
     return F.when(hit, BLOCKER_PENALTY).otherwise(0.0)

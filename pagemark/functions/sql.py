@@ -13,6 +13,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from pagemark.functions import html, languages, markdown, signals, urls
+from pagemark.functions.decide import compare_and_decide
 
 ONE_TEXT = {
     "visible_text": (html.visible_text, "STRING"),
@@ -86,4 +87,16 @@ def register_sql(spark: SparkSession, prefix: str = "pm_") -> list[str]:
     ]
     score = signals.score_candidate(*(F.col(name) for name in SCORE_ARGS))
     args = ", ".join(f"{name} DOUBLE" for name in SCORE_ARGS)
-    return [*names, create("score_candidate", args, "DOUBLE", score)]
+    flags = "STRUCT<" + ", ".join(
+        f"{name}: BOOLEAN" for name in signals.PENALIZED) + ", error: STRING>"
+    decision = compare_and_decide(*(F.col(n) for n in ("text_a", "html_a", "text_b", "html_b", "penalty")))
+    texts = ", ".join(f"{n} STRING" for n in ("text_a", "html_a", "text_b", "html_b"))
+    returns = spark.range(1).select(
+        *(F.lit("").alias(n) for n in ("text_a", "html_a", "text_b", "html_b")),
+        F.lit(0.0).alias("penalty"),
+    ).select(decision.alias("d")).schema["d"].dataType.simpleString()
+    return [
+        *names, create("score_candidate", args, "DOUBLE", score),
+        create("blocker_penalty", f"flags {flags}", "DOUBLE", signals.blocker_penalty(F.col("flags"))),
+        create("compare_and_decide", f"{texts}, penalty DOUBLE", returns, decision),
+    ]

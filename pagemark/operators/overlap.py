@@ -1,30 +1,41 @@
-"""n-gram overlap for texts too long to hold their gram sets in one row."""
+"""n-gram overlap of texts whose gram sets are too large for one row."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemark.functions.signals import word_ngrams
+from pagemark.functions.arrays import let
+from pagemark.functions.signals import NGRAM_SIZES, ngrams_of, words
+
+CHUNK_WORDS = 4096
 
 
 def semantic_overlap_exploded(
-    pairs: DataFrame, key: str, a: str = "text_a", b: str = "text_b"
+    pairs: DataFrame, key: str, a: str = "text_a", b: str = "text_b",
+    chunk_words: int = CHUNK_WORDS,
 ) -> DataFrame:
     """(key, overlap), equal to ``functions.signals.semantic_overlap``.
 
-    Grams are shuffled by (key, gram), so the work of one long pair spreads over the
-    cluster; the counts per key are combined map-side before the second shuffle.
+    Both texts are cut into chunks of words, which overlap so that no n-gram is lost;
+    grams are built chunk by chunk, so no row holds those of a whole text. They are
+    shuffled by (key, gram), so the work of one long pair spreads over the cluster, and
+    the counts per key are combined map-side before the second shuffle. A missing text
+    counts as an empty one.
     """
-    def grams(column: str, side: int) -> DataFrame:
-        return pairs.select(
-            key, F.explode_outer(word_ngrams(F.col(column))).alias("gram"),
-            F.lit(side).alias("side"),
-        )
-
-    sides = grams(a, 1).unionByName(grams(b, 2)).groupBy(key, "gram").agg(
-        F.bit_or("side").alias("sides")
+    def chunks(ws):
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(ws), F.lit(1)), F.lit(chunk_words))
+        return F.transform(firsts, lambda i: F.slice(ws, i, F.lit(chunk_words + max(NGRAM_SIZES) - 1)))
+
+    texts = pairs.select(key, F.explode(F.array(
+        F.struct(F.lit(1).alias("side"), F.col(a).alias("text")),
+        F.struct(F.lit(2).alias("side"), F.col(b).alias("text")),
+    )).alias("t"))
+    cut = texts.select(
+        key, "t.side", F.explode(let(words(F.coalesce("t.text", F.lit(""))), chunks)).alias("chunk")
     )
+    grams = cut.select(key, "side", F.explode_outer(ngrams_of(F.col("chunk"))).alias("gram"))
+    sides = grams.groupBy(key, "gram").agg(F.bit_or("side").alias("sides"))
     real = F.col("gram").isNotNull()
     counts = sides.groupBy(key).agg(
         F.count_if(real & (F.col("sides") == 3)).alias("shared"),

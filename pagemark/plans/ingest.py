@@ -7,7 +7,7 @@ shuffled, and pages that cannot be compared skip the costly steps.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from pagemark.functions import blockers
@@ -16,7 +16,7 @@ from pagemark.functions.extract import refetch_extraction
 from pagemark.functions.html import page_text
 from pagemark.functions.markdown import clean_markdown, convert, fix_fragmented_code
 from pagemark.functions.signals import blocker_penalty
-from pagemark.functions.urls import normalize_links, was_redirected
+from pagemark.functions.urls import normalize_links, redact_tokens, was_redirected
 
 FALLBACK_ROUTES = ("fetch_failed", "redirect", "extraction_failed", "blocker")
 
@@ -24,11 +24,14 @@ FALLBACK_ROUTES = ("fetch_failed", "redirect", "extraction_failed", "blocker")
 def prepare_fetches(fetches: DataFrame, min_chars: int = 1) -> DataFrame:
     """Everything the comparison needs to know about a fetch, without its raw HTML.
 
-    Write the result to a table when several jobs or a stream use the same fetches.
+    A column ``probe_error`` tells why a probe of the page failed, which costs the
+    re-fetch a penalty. Write the result to a table when several jobs or a stream use
+    the same fetches.
     """
     ok = F.coalesce(F.col("success"), F.lit(False))
     usable = F.col("fetch_ok") & ~F.col("redirected")
-    extra = [c for c in ("fetched_at",) if c in fetches.columns]
+    extra = [c for c in ("fetched_at", "probe_error") if c in fetches.columns]
+    probe_error = F.col("probe_error") if "probe_error" in extra else F.lit(None).cast("string")
     routed = fetches.select(
         "url", "final_url", "status_code", "html", *extra, ok.alias("fetch_ok"),
         (ok & F.coalesce(was_redirected(F.col("url"), F.col("final_url")), F.lit(False))).alias(
@@ -41,20 +44,22 @@ def prepare_fetches(fetches: DataFrame, min_chars: int = 1) -> DataFrame:
     probed = F.col("b.success") & blockers.should_probe(F.col("b.char_count"))
     flags = blockers.blocker_flags(
         F.col("status_code"), F.col("html"), page_text(F.col("html")),
-        F.lit(None).cast("string"),
+        probe_error,
     )
-    return extracted.withColumn("flags", F.when(probed, flags)).drop("html", "status_code")
+    return extracted.withColumn("flags", F.when(probed, flags)).drop("html", "status_code", "probe_error")
 
 
 def latest_fetches(prepared: DataFrame) -> DataFrame:
-    """One fetch per URL: the latest, or the greatest row if there is no time.
+    """One fetch per URL: the latest; of several at one time a successful one.
 
-    Rows of one URL are combined map-side first, so a hot URL stays small.
+    Without a time any order would do, and the one of a hash is as good. The optimizer
+    keeps the first of each URL in every task before the shuffle, so a hot URL stays small.
     """
-    order = [c for c in ("fetched_at", "fetch_ok") if c in prepared.columns]
-    rest = [c for c in prepared.columns if c not in (*order, "url")]
-    best = prepared.groupBy("url").agg(F.max(F.struct(*order, *rest)).alias("f"))
-    return best.select("url", "f.*")
+    order = [F.col(c).desc_nulls_last() for c in ("fetched_at", "fetch_ok", "success")
+             if c in prepared.columns]
+    rest = [c for c in ("final_url", "fetch_error", "error", "redirected") if c in prepared.columns]
+    first = Window.partitionBy("url").orderBy(*order, F.xxhash64(*rest) if rest else F.lit(0))
+    return prepared.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
 
 
 def without_meta(captures: DataFrame) -> DataFrame:
@@ -191,7 +196,10 @@ def observed(results: DataFrame, observation: Observation) -> DataFrame:
 
 
 def quarantine_errors(results: DataFrame) -> DataFrame:
-    """Result rows without Markdown: a record that failed rejects only itself."""
+    """Result rows without Markdown: a record that failed rejects only itself.
+
+    URLs are reported with their tokens hidden.
+    """
     return results.filter(F.col("markdown").isNull()).select(
-        "url", F.lit("no markdown").alias("reason")
+        redact_tokens(F.col("url")).alias("url"), F.lit("no markdown").alias("reason")
     )

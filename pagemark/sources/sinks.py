@@ -23,12 +23,13 @@ def write_clustered(written: DataFrame, path: str, mode: str = "errorifexists")
     """Rewrite a corpus so that a filter on host skips files by their statistics.
 
     A directory per host would make millions of small files, and one host may hold much
-    of the data; ranges of (host, url) let a large host span several files. Give this a
+    of the data, or one URL; ranges of (host, url, a hash) let both span several files. Give this a
     corpus read back from its table: range partitioning samples its input in a pass of
     its own, which would run a whole ingest twice.
     """
-    ranged = written.repartitionByRange("host", "url").sortWithinPartitions("host", "url")
-    ranged.write.mode(mode).parquet(path)
+    spread = F.xxhash64("markdown", "captured_at") if "captured_at" in written.columns else F.xxhash64("markdown")
+    ranged = written.withColumn("_spread", spread).repartitionByRange("host", "url", "_spread")
+    ranged.sortWithinPartitions("host", "url").drop("_spread").write.mode(mode).parquet(path)
 
 
 def write_markdown_text(
@@ -40,7 +41,11 @@ def write_markdown_text(
 
 def html_backup(pages: DataFrame, results: DataFrame) -> DataFrame:
     """Pages without a result, with the file name their raw HTML is kept under."""
-    missing = pages.join(results.select("url").distinct(), "url", "left_anti")
+    # URLs first, without the pages; few of them then go to the pages by a broadcast
+    urls = pages.select("url").distinct().join(results.select("url"), "url", "left_anti")
+    missing = pages.join(
+        urls.withColumnRenamed("url", "_url"), F.col("url").eqNullSafe(F.col("_url")), "left_semi"
+    )
     return missing.withColumn(
         "filename", F.concat(sanitize_filename(F.col("title")), F.lit("_backup.html"))
     )

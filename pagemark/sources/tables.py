@@ -16,25 +16,18 @@ CAPTURE_SCHEMA = (
 )
 FETCH_SCHEMA = (
     "url string, final_url string, status_code int, content_type string, html string, "
-    "success boolean, error string"
+    "success boolean, error string, fetched_at timestamp"
 )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a small input enough partitions for the cores at hand.
+def read_pages(spark: SparkSession, directory: str, partitions: int | None = None) -> DataFrame:
+    """A crawl table: page_id, url, html.
 
-    A table with at least as many splits as the cluster has cores is left alone.
+    The splits of the files decide on the partitions. ``partitions`` deals the pages out
+    anew, at the price of shuffling them; it is meant for a table in a single small file.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
-
-
-def read_pages(spark: SparkSession, directory: str) -> DataFrame:
-    """A crawl table: page_id, url, html."""
-    pages = spark.read.parquet(f"{directory}/pages.parquet")
-    return spread(pages.select("page_id", "url", "html"), "page_id")
+    pages = spark.read.parquet(f"{directory}/pages.parquet").select("page_id", "url", "html")
+    return pages.repartition(partitions, "page_id") if partitions else pages
 
 
 def read_captures(spark: SparkSession, path: str, file_format: str = "json") -> DataFrame:
@@ -112,4 +105,6 @@ def shape_fetches(fetches: DataFrame) -> DataFrame:
     )
 
 
-FETCH_SCHEMA_COLUMNS = tuple(part.split()[0] for part in FETCH_SCHEMA.split(", "))
+FETCH_SCHEMA_COLUMNS = tuple(
+    part.split()[0] for part in FETCH_SCHEMA.split(", ") if not part.startswith("fetched_at")
+)

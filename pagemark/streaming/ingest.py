@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pagemark.dialect import FETCH_TIMEOUT
 from pagemark.plans.ingest import answer, join_candidates, prepare_fetches, without_meta
 
+#: How late a record may come to a stream if the caller doesn't say.
+LATENESS = "10 minutes"
+
 
 def read_stream(spark: SparkSession, path: str, schema, file_format: str = "parquet",
                 **options) -> DataFrame:
@@ -27,14 +30,19 @@ def ingest_stream(captures: DataFrame, prepared: DataFrame, **options) -> DataFr
 
 def join_fetch_stream(
     captures: DataFrame, fetches: DataFrame, timeout: str = FETCH_TIMEOUT,
-    watermark: str = "0 seconds",
+    watermark: str = LATENESS,
 ) -> DataFrame:
-    """Pair captures with fetches that arrive within ``timeout``.
+    """Pair captures with fetches that arrive within ``timeout``; one row for a capture.
 
     Both inputs are streams, with ``captured_at`` and ``fetched_at``. A capture whose
     fetch does not come in time is emitted with empty fetch columns once the watermark
     has passed, which is the fetch-failed route. Fetches are reduced before the join,
     so the join state holds extractions and not raw pages.
+
+    ``watermark`` is how late a record may come. Spark drops a capture that comes later
+    without a trace, so ``unanswered`` finds those from the stored captures and results,
+    and ``ingest`` answers them. Of several fetches in time the one that is joined first
+    counts; the same capture posted again is one capture.
     """
     left = without_meta(captures).withWatermark("captured_at", watermark)
     right = (
@@ -47,13 +55,25 @@ def join_fetch_stream(
         & (F.col("fetched_at") >= F.col("captured_at"))
         & (F.col("fetched_at") <= F.col("captured_at") + F.expr(f"interval {timeout}"))
     )
-    return left.join(right, in_time, "left_outer").drop("fetch_url")
+    joined = left.join(right, in_time, "left_outer").drop("fetch_url")
+    # one event time goes on, so that copies can be dropped by it
+    plain = joined.withColumn("fetched_at", F.timestamp_micros(F.unix_micros("fetched_at")))
+    once = plain.withColumn("_capture", F.xxhash64("url", "captured_at", "title", "html", "text"))
+    return once.dropDuplicatesWithinWatermark(["_capture"]).drop("_capture")
+
+
+def unanswered(captures: DataFrame, results: DataFrame) -> DataFrame:
+    """Stored captures without a result, as those that came after the watermark."""
+    keyed = captures.withColumn("_at", F.col("meta.captured_at"))
+    there = results.select(F.col("url").alias("_url"), F.col("captured_at").alias("_answered"))
+    same = F.col("url").eqNullSafe(F.col("_url")) & F.col("_at").eqNullSafe(F.col("_answered"))
+    return keyed.join(there, same, "left_anti").drop("_at")
 
 
 def ingest_streams(captures: DataFrame, fetches: DataFrame, timeout: str = FETCH_TIMEOUT,
-                   **options) -> DataFrame:
+                   watermark: str = LATENESS, **options) -> DataFrame:
     """Full ingest of two streams."""
-    return answer(join_fetch_stream(captures, fetches, timeout), **options)
+    return answer(join_fetch_stream(captures, fetches, timeout, watermark), **options)
 
 
 def start(results: DataFrame, path: str, checkpoint: str, available_now: bool = False):

@@ -43,12 +43,12 @@ def test_deep_and_long_pages(apply):
 
 def test_header_and_fallback(spark):
     df = spark.createDataFrame(
-        [(0, "<p>Content</p>", "2025-10-20T12:34:56Z"), (1, None, "2025-10-20T12:34:56Z"),
-         (2, "", "2025-10-20T12:34:56Z")], "i int, html string, at string")
+        [(0, "<p>six herons</p>", "2021-05-04T03:02:01Z"), (1, None, "2021-05-04T03:02:01Z"),
+         (2, "", "2021-05-04T03:02:01Z")], "i int, html string, at string")
     out = df.select("i", M.convert(F.col("html"), F.lit("My Article"), F.lit("https://e.com/a"),
                                    F.to_timestamp("at")).alias("m")).orderBy("i").collect()
     assert out[0].m == ("# My Article\n\n**Source**: https://e.com/a  \n"
-                        "**Captured**: 2025-10-20 12:34:56 UTC\n\n---\n\nContent")
+                        "**Captured**: 2021-05-04 03:02:01 UTC\n\n---\n\nsix herons")
     assert "Failed to convert to Markdown" in out[1].m and out[1].m.endswith("```\n\n```\n")
     assert out[2].m.endswith("```\n...\n```\n")
 
@@ -118,3 +118,10 @@ def test_detect_unlabelled_option(apply):
     assert apply(lambda h: M.html_to_markdown(h, detect_unlabelled=True), [page]) == [
         "```python\nimport os\n```"]
     assert re.match("```\n", apply(M.html_to_markdown, [page])[0])
+
+
+def test_no_markers_from_references(apply):
+    from pagemark.functions.markdown import html_to_markdown
+
+    got = apply(html_to_markdown, ["<p>a&#5;b&#6;c &#14;http://x&#15;y&#16;</p>"])
+    assert "**" not in got[0] and "](" not in got[0]

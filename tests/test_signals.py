@@ -14,17 +14,16 @@ def grams(text):
 
 
 def jaccard(a, b):
-    x, y = grams(a), grams(b)
+    x, y = grams(a or ""), grams(b or "")
     return len(x & y) / len(x | y) if x and y else 0.0
 
 
 OVERLAP_PAIRS = [
-    ("The quick brown fox jumps over the lazy dog",) * 2,
-    ("Python programming language is great for data science",
-     "The weather today is sunny and warm"),
-    ("Machine learning is a subset of artificial intelligence that enables computers to learn",
-     "Machine learning enables computers to learn and is part of artificial intelligence"),
-    ("", "some text"), ("one", "one"), ("a b", "b a"), ("été à la plage", "l'été à la plage"),
+    ("Nine grey herons wait beside a frozen canal",) * 2,
+    ("Rye bread needs a long and slow rise", "Harbour ferries stop at midnight in winter"),
+    ("Old maps show the river north of the mill before the flood moved it",
+     "Before the flood moved it the river ran north of the mill on old maps"),
+    ("", "lone words"), (None, "lone words"), (None, None), ("one", "one"), ("a b", "b a"), ("été à la plage", "l'été à la plage"),
     ("...", "x"),
 ]
 
@@ -38,17 +37,37 @@ def test_overlap(apply):
 def test_overlap_exploded_is_the_same(spark):
     rows = [(i, a, b) for i, (a, b) in enumerate(OVERLAP_PAIRS)]
     df = spark.createDataFrame(rows, "k int, text_a string, text_b string")
-    got = {r.k: r.overlap for r in semantic_overlap_exploded(df, "k").collect()}
-    assert got == pytest.approx({k: jaccard(a, b) for k, a, b in rows})
+    for size in (1, 2, 3, 7, 4096):
+        got = {r.k: r.overlap for r in semantic_overlap_exploded(df, "k", chunk_words=size).collect()}
+        assert got == pytest.approx({k: jaccard(a, b) for k, a, b in rows})
+
+
+def test_overlap_of_a_very_long_text(spark):
+    df = spark.range(1).select(
+        "id", F.expr("array_join(transform(sequence(1, 1000000), i -> string(i % 5000)), ' ')").alias("text_a"))
+    got = semantic_overlap_exploded(df.withColumn("text_b", F.col("text_a")), "id").collect()
+    assert got[0].overlap == 1.0
+
+
+def test_missing_texts_and_pages(apply):
+    empty, missing, half = apply(S.signals, [("", ""), (None, None), (None, "<h1>a</h1>")])
+    assert empty == missing and missing.len_text == 0 and missing.density == 0.0 and missing.structure == 0
+    assert half.headings == 1 and half.word_count == 0
+    assert apply(S.len_text, [None]) == apply(S.structure, [None]) == [0]
+    assert apply(S.density, [(None, None)]) == apply(S.freshness, [None]) == [0.0]
+    full = "enough words to stand for an article " * 300
+    rows = [(None, None, full, f"<p>{full}</p>", 0.0), ("", "", full, f"<p>{full}</p>", 0.0)]
+    for d in apply(compare_and_decide, rows, ["string"] * 4 + ["double"]):
+        assert d.chosen == "refetch" and d.overlap == 0.0
 
 
 def test_signals(apply):
-    text = "This is a sample article with some content. " * 20
-    html = "<h1>Title</h1><p>Paragraph 1</p><p>Paragraph 2</p><ul><li>Item</li></ul>"
+    text = "Eight short words fill every line of this. " * 20
+    html = "<h1>Canal</h1><p>heron</p><p>ice</p><ul><li>reed</li></ul>"
     rich = ("<h1>T</h1><h2>S</h2><h3>U</h3><ul><li>1</li><li>2</li><li>3</li></ul>"
             "<ol><li>1</li><li>2</li></ol>")
-    basic, good, poor = apply(S.signals, [(text, html), ("text content", rich),
-                                          ("text content", "<p class='x'>Just plain text</p>")])
+    basic, good, poor = apply(S.signals, [(text, html), ("two words", rich),
+                                          ("two words", "<p class='x'>nothing but words</p>")])
     assert basic.len_text == len(text) and basic.word_count == 160
     assert basic.density == pytest.approx(160 / 4 / 100) and basic.structure == 3
     assert good.structure == 11 and good.headings == 3 and good.lists == 5
@@ -74,11 +93,11 @@ def test_score(apply):
 
 
 def test_decision(apply):
-    text, html = "Sample article content " * 50, "<article>" + "<p>x</p>" * 20 + "</article>"
-    long_text = "This is a much longer and more detailed article " * 100
-    long_html = "<article>" + "<p>Detailed paragraph</p>" * 50 + "</article>"
+    text, html = "herons on ice " * 50, "<article>" + "<p>x</p>" * 20 + "</article>"
+    long_text = "every heron of the canal was counted again at dusk " * 100
+    long_html = "<article>" + "<p>one count and its hour</p>" * 50 + "</article>"
     rows = [(text, html, text, html, 0.0), (text, html, text, html, 0.3),
-            ("Short article", "<p>Short</p>", long_text, long_html, 0.0)]
+            ("few words", "<p>few</p>", long_text, long_html, 0.0)]
     tie, blocked, better = apply(compare_and_decide, rows, ["string"] * 4 + ["double"])
     assert tie.chosen == "capture" and tie.score_diff < 0.05 and tie.overlap == 1.0
     assert blocked.chosen == "capture" and blocked.blocker_penalty == 0.3
