@@ -44,7 +44,11 @@ LEVEL = 3
 HEAD = struct.Struct("<4sB3xQII")
 MAGIC = b"PLN1"
 #: Words remembered by a task; beyond it the memory starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: The suffix of tokens that end a piece, and marks that are pieces of their own.
+SUFFIX = "</w>"
+MARKS = b".,;:!?"
+RUN_WORDS = 100
 
 
 def pack(ids: np.ndarray, unit: int = 8, block_ids: int = BLOCK_IDS, level: int = LEVEL) -> bytes:
@@ -97,7 +101,10 @@ class WordTokenizer:
     """A tokenizer file of the tokenizers library whose pieces never span white space.
 
     Texts are cut at ASCII white space, which such a tokenizer drops and which no
-    normalisation reaches across, and only words not met before go to the library.
+    normalisation reaches across, and only words not met before go to the library. Marks
+    behind letters are pieces of their own, so a word and its marks are encoded apart.
+    Words of letters alone go in runs: each is one piece, and a piece's last token is one
+    with the suffix. If a run has not as many of those as words, its words go one by one.
     """
 
     def __init__(self, path: str):
@@ -107,19 +114,54 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words: dict[bytes, bytes] = {}
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(SUFFIX)]] = True
+
+    def _each(self, words: list[str]) -> None:
+        for begin in range(0, len(words), 10_000):
+            part = words[begin:begin + 10_000]
+            for word, own in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                self.words[word.encode("utf-8", "surrogatepass")] = np.array(own.ids, dtype="<u4").tobytes()
+
+    def _runs(self, words: list[str]) -> None:
+        runs = [words[i:i + RUN_WORDS] for i in range(0, len(words), RUN_WORDS)]
+        found = self.library.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)
+        for run, own in zip(runs, found):
+            ids = np.array(own.ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(run) or ends[-1] != 4 * len(ids):
+                self._each(run)
+                continue
+            raw = ids.tobytes()
+            for word, begin, end in zip(run, [0, *ends], ends):
+                self.words[word.encode()] = raw[begin:end]
+
+    def _learn(self, new: list[bytes]) -> None:
+        letters, others, marked = set(), set(), []
+        for raw in new:
+            base = raw.rstrip(MARKS)
+            word = base.decode("utf-8", "surrogatepass")
+            if not (word.isalpha() and word.lower().isalpha()):  # no mark joins what follows
+                others.add(raw.decode("utf-8", "surrogatepass"))
+                continue
+            if base not in self.words:
+                letters.add(word)
+            if base != raw:
+                tail = raw[len(base):]
+                marked.append((raw, base, tail))
+                if tail not in self.words:
+                    others.add(tail.decode())
+        self._each(list(others))
+        self._runs(list(letters))
+        for raw, base, tail in marked:
+            self.words[raw] = self.words[base] + self.words[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        new = list(set().union(*cut).difference(self.words))
-        for begin in range(0, len(new), 10_000):
-            part = new[begin:begin + 10_000]
-            found = self.library.encode_batch_fast(
-                [w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False
-            )
-            for word, own in zip(part, found):
-                self.words[word] = np.array(own.ids, dtype="<u4").tobytes()
+        self._learn(list(set().union(*cut).difference(self.words)))
         known = self.words.__getitem__
         return [b"".join(map(known, words)) for words in cut]
 

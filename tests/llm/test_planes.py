@@ -1,5 +1,6 @@
 """Frames as exact round trips, and written files against the library on whole texts."""
 
+import random
 import zlib
 
 import numpy as np
@@ -34,6 +35,18 @@ def test_other_bytes():
         planes.pack(np.zeros(3, np.uint32), unit=4)
 
 
+def test_words_as_in_whole_texts():
+    library = Tokenizer.from_file(PATH)
+    library.encode_special_tokens = True
+    rng = random.Random(6)
+    own = planes.WordTokenizer(PATH)
+    alphabet = ["th", "the", "é", "ß", "İ", "ñ", "漢", "ı", "'s", "'", ".", ",", "!?", ";", ":", "1", "-", " ", " ", "\n",
+                "e\u0301", "ﬁ", "Σ", "\u00a0", "ʼn", "A", "x"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(3000)]
+    assert [np.frombuffer(i, "<u4").tolist() for i in own.encode(texts)] == [
+        e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("unit", [1, 8])
 def test_written_files(spark, tmp_path, unit):
     library = Tokenizer.from_file(PATH)
