@@ -24,6 +24,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 _PLAIN = re.compile(r"Column<'(?![xyz]_\d+')[A-Za-z_][\w.]*'>")
 _BUILT: dict[tuple, Column] = {}
+MOST_BUILT = 512
 
 
 def reused(function: Callable[..., Column]) -> Callable[..., Column]:
@@ -43,6 +44,8 @@ def reused(function: Callable[..., Column]) -> Callable[..., Column]:
         key = (function.__module__, function.__qualname__, inputs,
                tuple(sorted(options.items())), context.applicationId)
         if key not in _BUILT:
+            if len(_BUILT) >= MOST_BUILT:
+                _BUILT.clear()
             _BUILT[key] = function(*args, **options)
         return _BUILT[key]
 

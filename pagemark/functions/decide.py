@@ -24,7 +24,7 @@ def compare_and_decide(
     enters the scores only if ``overlap_weight`` is set.
     """
     def rounded(c: Column) -> Column:
-        # half to even on the binary value; ``round`` works on the decimal notation
+        # three digits for a report; a tie may end on either side of it
         return F.rint(c * 1000) / 1000
 
     def side(s: Column, overlap: Column) -> Column:
