@@ -119,7 +119,39 @@ def op9_sharding(spark, sf_dir):
 @query
 def op8_line_dedup(spark, sf_dir):
     """Every line of 20 characters or more: the first line of its class, and whether it stays."""
-    return lines.line_classes(table(spark, sf_dir, "documents")).drop("text_key")
+    classes = lines.line_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "line_no", "first_doc_id", "first_line_no", "kept")
+
+
+# levenshtein counts bytes there, so the letters beyond ASCII become single bytes first
+ORACLE["op8_line_dedup"] = """
+WITH RECURSIVE places AS (
+  SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, cut[i] AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS cut FROM documents WHERE text IS NOT NULL),
+       LATERAL (SELECT unnest(range(1, len(cut) + 1)) AS i)
+  WHERE length(cut[i]) >= 20
+), texts AS (
+  SELECT DISTINCT line, length(line) AS n, translate(line, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü',
+         array_to_string([chr(c) FOR c IN [1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 14, 15, 16, 17, 18, 19, 20, 21,
+                                           22, 23, 24]], '')) AS t
+  FROM places
+), near AS (
+  SELECT a.line AS a, b.line AS b FROM texts a JOIN texts b ON b.n BETWEEN a.n AND a.n + 2
+  WHERE a.line <> b.line AND levenshtein(a.t, b.t) <= 2 AND (
+    contains(b.t, substr(a.t, 1, a.n // 3)) OR contains(b.t, substr(a.t, 2 * a.n // 3 + 1))
+    OR contains(b.t, substr(a.t, a.n // 3 + 1, 2 * a.n // 3 - a.n // 3)))
+), links AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach AS (
+  SELECT a AS line, a AS other FROM links
+  UNION SELECT r.line, l.b FROM reach r JOIN links l ON r.other = l.a
+), classes AS (SELECT line, min(other) AS class FROM reach GROUP BY line),
+named AS (
+  SELECT doc_id, line_no, coalesce(class, line) AS class FROM places LEFT JOIN classes USING (line)
+), firsts AS (SELECT class, min({'d': doc_id, 'l': line_no}) AS first FROM named GROUP BY class)
+SELECT doc_id, line_no, first.d AS first_doc_id, first.l AS first_line_no,
+       first.d = doc_id AND first.l = line_no AS kept
+FROM named JOIN firsts USING (class)
+"""
 
 
 @query
