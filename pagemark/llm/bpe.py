@@ -32,9 +32,9 @@ from pagemark.llm.common import prepare, slices
 NONE = np.int64(1 << 40)
 WIDEST = 256
 #: Pieces remembered by a task; beyond it the memory starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Cells of one matrix.
-CELLS = 1 << 20
+CELLS = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -13,10 +13,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts of about this many bytes are worked on at a time inside a Python task.
-SLICE_BYTES = 4 << 20
+#: Texts of about this many bytes are worked on at a time inside a Python task. Numpy copies
+#: take many times that, two tasks share an executor, and workers keep what they once used.
+SLICE_BYTES = 1 << 20
 #: Arrow batches that reach Python tasks stay under this size (but for one longer row).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

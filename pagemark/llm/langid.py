@@ -35,7 +35,7 @@ UNKNOWN = "und"
 #: Letters are below 2 ** 18; an n-gram is up to three of them and its length.
 BITS = 18
 #: Distinct n-grams and counts held by a task before they are combined.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 @lru_cache(maxsize=1)
