@@ -166,6 +166,11 @@ def template_blocks(spark, directory):
     return templates.template_blocks(read_pages(spark, directory), min_pages=2)
 
 
+@query
+def template_free_pages(spark, directory):
+    return templates.without_templates(read_pages(spark, directory), min_pages=2)
+
+
 @query
 def refetch_summaries(spark, directory):
     fetches = variants.fetches(read_pages(spark, directory))

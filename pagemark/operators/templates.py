@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemark.dialect import SPACE_RE, TAG_RE
@@ -10,15 +10,16 @@ from pagemark.functions import html
 from pagemark.functions.urls import url_host
 
 
+def _block_text(block: Column) -> Column:
+    bare = F.regexp_replace(block["html"], TAG_RE, "")
+    return html.trim_space(F.regexp_replace(html.decode_entities(bare), SPACE_RE, " "))
+
+
 def page_blocks(pages: DataFrame) -> DataFrame:
     """Non-empty text blocks of each page."""
     others = [c for c in pages.columns if c != "html"]
     blocks = html.text_blocks(html.protect(F.col("html")))
-    text = html.trim_space(
-        F.regexp_replace(
-            html.decode_entities(F.regexp_replace(F.col("b.html"), TAG_RE, "")), SPACE_RE, " "
-        )
-    )
+    text = _block_text(F.col("b"))
     return pages.select(*others, F.posexplode(blocks).alias("block", "b")).select(
         *others, "block", "b.tag", "b.words", "b.link_words", "b.inside", text.alias("text")
     )
@@ -35,3 +36,25 @@ def template_blocks(pages: DataFrame, min_pages: int, page: str = "page_id") ->
         .agg(F.countDistinct(page).alias("n_pages"))
         .filter(F.col("n_pages") >= min_pages)
     )
+
+
+def without_templates(pages: DataFrame, min_pages: int, page: str = "page_id") -> DataFrame:
+    """(page, url, html): the main content of each page without the blocks of its template.
+
+    The blocks that the density rules keep meet the template blocks of their host; a page
+    with nothing left has empty HTML. The hash of the text is a second join key, so that
+    adaptive execution can split a block that stands on all pages of a large host.
+    """
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_text_hash", F.xxhash64("text"))
+
+    kept = html.content_blocks(html.text_blocks(html.protect(F.col("html"))))
+    blocks = pages.select(page, url_host(F.col("url")).alias("host"), F.posexplode(kept).alias("at", "b"))
+    blocks = blocks.withColumn("text", _block_text(F.col("b")))
+    templates = template_blocks(pages, min_pages, page).select("host", "text")
+    own = keyed(blocks).join(keyed(templates), ["host", "text", "_text_hash"], "left_anti")
+    ordered = own.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("at", "b"))).alias("blocks"))
+    rendered = ordered.select(page, html.blocks_html(F.col("blocks.b")).alias("html"))
+    return pages.select(page, "url").join(rendered, page, "left").select(
+        page, "url", F.coalesce("html", F.lit("")).alias("html")
+    )
