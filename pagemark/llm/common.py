@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -132,3 +132,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return labels.select("node", F.col("root").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))
     )
+
+
+def free_name(columns: Iterable[str], wanted: str) -> str:
+    """A column name that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

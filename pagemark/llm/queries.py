@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemark.llm import ann, bpe, decontaminate, langid, lines, planes, secrets, sharding, simhash, tokencount
+from pagemark.llm import ann, bpe, decontaminate, langid, lines, planes, quality, secrets, sharding, simhash, tokencount
 from pagemark.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,3 +207,64 @@ def op2_secrets(spark, sf_dir):
         "doc_id", "at", F.col("length").cast("int").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"),
         F.round("coverage", 6).alias("coverage"), F.round("score", 6).alias("score"), "kept",
     )
+
+
+@query
+def op13_quality_rules(spark, sf_dir):
+    """Measures of every whole text, and the verdict of the table of rules."""
+    judged = quality.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *(F.col("quality")[name].alias(name) for name in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letter_words", "n_lines",
+        "n_letter_runs", "n_stop_words", "base_failed", "kept",
+    )), F.array_join("quality.failed", ",").alias("failed"))
+
+
+_FAILED = ", ".join(
+    f"CASE WHEN {'' if rule.per is None else f'{rule.per} > 0 AND '}(" + " OR ".join(
+        f"{'' if rule.per is None else '1000 * '}{rule.measure} {sign} {bound}"
+        + ("" if rule.per is None else f" * {rule.per}")
+        for sign, bound in (("<", rule.least), (">", rule.most)) if bound is not None
+    ) + f") THEN '{rule.rule}' END" for rule in quality.RULES
+)
+_STOP = ", ".join(f"'{word}'" for word in sorted(set(" ".join(quality.STOP_WORDS.values()).split())))
+
+ORACLE["op13_quality_rules"] = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents
+), cut AS (
+  SELECT row_id, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS rows_,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS runs
+  FROM docs
+), windows AS (
+  SELECT row_id, p, words[p:p + 7] AS own
+  FROM cut, LATERAL (SELECT unnest(range(1, len(words) - 6)) AS p)
+), many AS (SELECT row_id, own FROM windows GROUP BY row_id, own HAVING count(*) > 1),
+covered AS (
+  SELECT row_id, count(DISTINCT q) AS n_repeat_words
+  FROM windows JOIN many USING (row_id, own), LATERAL (SELECT unnest(range(p, p + 8)) AS q) GROUP BY row_id
+), measured AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(words, w -> length(w))), 0) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(rows_) - len(list_distinct(rows_)) AS BIGINT) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words,
+         CAST(len(list_filter(words, w -> regexp_matches(w, '[^\x00-\x40\x5B-\x60\x7B-\x7F]'))) AS BIGINT)
+           AS n_letter_words,
+         CAST(len(rows_) AS BIGINT) AS n_lines,
+         CAST(len(list_filter(rows_, x -> regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS BIGINT) AS n_bullet_lines,
+         CAST(len(list_filter(rows_, x -> regexp_matches(x, '([.][.][.]|…)[\x20\x09-\x0D]*$'))) AS BIGINT)
+           AS n_cut_lines,
+         CAST(len(runs) AS BIGINT) AS n_letter_runs,
+         CAST(len(list_filter(runs, w -> w IN ({_STOP}))) AS BIGINT) AS n_stop_words
+  FROM cut LEFT JOIN covered USING (row_id)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         concat_ws(',', {_FAILED}) AS failed
+  FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_letter_words, n_lines,
+       n_letter_runs, n_stop_words, base_failed, NOT base_failed AND failed = '' AS kept, failed
+FROM judged
+"""
