@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemark.llm import ann, bpe, decontaminate, langid, lines, planes, quality, secrets, sharding, simhash, tokencount
+from pagemark.llm import (
+    ann, bpe, decontaminate, divergence, langid, lines, planes, quality, secrets, sharding, simhash, tokencount,
+)
 from pagemark.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,7 +235,7 @@ WITH docs AS (
   SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents
 ), cut AS (
   SELECT row_id, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS rows_,
+         [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS rows_,
          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS runs
   FROM docs
@@ -246,18 +248,18 @@ covered AS (
   FROM windows JOIN many USING (row_id, own), LATERAL (SELECT unnest(range(p, p + 8)) AS q) GROUP BY row_id
 ), measured AS (
   SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
-         CAST(coalesce(list_sum(list_transform(words, w -> length(w))), 0) AS BIGINT) AS word_chars,
+         CAST(coalesce(list_sum([length(w) FOR w IN words]), 0) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(rows_) - len(list_distinct(rows_)) AS BIGINT) AS n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words,
-         CAST(len(list_filter(words, w -> regexp_matches(w, '[^\x00-\x40\x5B-\x60\x7B-\x7F]'))) AS BIGINT)
+         CAST(len([w FOR w IN words IF regexp_matches(w, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')]) AS BIGINT)
            AS n_letter_words,
          CAST(len(rows_) AS BIGINT) AS n_lines,
-         CAST(len(list_filter(rows_, x -> regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS BIGINT) AS n_bullet_lines,
-         CAST(len(list_filter(rows_, x -> regexp_matches(x, '([.][.][.]|…)[\x20\x09-\x0D]*$'))) AS BIGINT)
+         CAST(len([x FOR x IN rows_ IF regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]')]) AS BIGINT) AS n_bullet_lines,
+         CAST(len([x FOR x IN rows_ IF regexp_matches(x, '([.][.][.]|…)[\x20\x09-\x0D]*$')]) AS BIGINT)
            AS n_cut_lines,
          CAST(len(runs) AS BIGINT) AS n_letter_runs,
-         CAST(len(list_filter(runs, w -> w IN ({_STOP}))) AS BIGINT) AS n_stop_words
+         CAST(len([w FOR w IN runs IF w IN ({_STOP})]) AS BIGINT) AS n_stop_words
   FROM cut LEFT JOIN covered USING (row_id)
 ), judged AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
@@ -268,3 +270,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_le
        n_letter_runs, n_stop_words, base_failed, NOT base_failed AND failed = '' AS kept, failed
 FROM judged
 """
+
+
+@query
+def op11_source_divergence(spark, sf_dir):
+    """How far the sources of each language are apart, and the terms that set each apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_source_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), found AS (SELECT row_id, lang, source, unnest(terms) AS term FROM docs),
+kept AS (
+  SELECT lang, term, count(*) AS lang_n FROM found GROUP BY lang, term HAVING count(DISTINCT row_id) >= 30
+), langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+shares AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n,
+         1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 5) // (coalesce(total, 0) + 5 * v) AS p,
+         1 + CAST(1000000000 AS HUGEINT) * (lang_n + 5) // (lang_total + 5 * v) AS q
+  FROM groups JOIN langs USING (lang) JOIN kept USING (lang)
+       LEFT JOIN counts USING (lang, source, term) LEFT JOIN totals USING (lang, source)
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), valued AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN apart p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM valued
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
