@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemark.llm import (
-    ann, bpe, decontaminate, divergence, langid, lines, planes, quality, secrets, sharding, simhash, tokencount,
+    alignment, ann, bpe, decontaminate, divergence, langid, lines, planes, quality, secrets, sharding, simhash,
+    tokencount,
 )
 from pagemark.llm.common import scratch, table
 
@@ -313,3 +314,10 @@ shares AS (
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
 FROM ranked WHERE part = 'pair' OR rank <= 50
 """
+
+
+@query
+def op12_alignment(spark, sf_dir):
+    """Groups and links of the tokens of two vocabularies in whole texts, scored by the corpus."""
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.score(table(spark, sf_dir, "documents"), a, b)
