@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemark.llm.common import prepare, slices
+from pagemark.llm.common import prepare, slices, tidy
 
 NONE = np.int64(1 << 40)
 WIDEST = 256
@@ -217,3 +217,22 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     prepare(encoded.sparkSession)
     out = encoded.withColumn("decoded", F.lit(None).cast("binary"))
     return out.mapInArrow(run, out.schema)
+
+
+def round_trip(documents: DataFrame, path: str, pattern: str, ids: str = "ids", same: str = "decodes") -> DataFrame:
+    """All columns, the ids, and whether they decode to the bytes of the text; one Python worker a task.
+
+    Columns that are already called ``ids`` or ``same`` are replaced.
+    """
+    def run(batches):
+        bpe = tokenizer(path, pattern)
+        for batch in slices(batches):
+            texts = batch.column("text").to_pylist()
+            found = bpe.encode(texts)
+            right = [bpe.decode(i) == (t or "").encode("utf-8", "surrogatepass") for i, t in zip(found, texts)]
+            batch = _with_column(batch, ids, pa.array(found, pa.binary()))
+            yield _with_column(batch, same, pa.array(right, pa.bool_()))
+
+    prepare(documents.sparkSession)
+    out = documents.withColumn(ids, F.lit(None).cast("binary")).withColumn(same, F.lit(None).cast("boolean"))
+    return out.mapInArrow(tidy(run, lambda: tokenizer(path, pattern).pieces.clear()), out.schema)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -79,6 +80,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
             yield batch.slice(begin)
 
 
+def tidy(run: Callable[[Iterator], Iterator], *clear: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """The same map over batches, after which its Python worker gives memory back.
+
+    Workers live on and serve the tasks of other stages; what they remember and what the
+    allocators hold would add up from stage to stage.
+    """
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for forget in clear:
+                forget()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of the links (a, b): one row (node, component) per node.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemark.llm.common import prepare, slices
+from pagemark.llm.common import free_name, prepare, settle, slices, tidy
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -145,12 +145,12 @@ HITS_ARROW = pa.struct([
 ])
 
 
-def _scan(held: Broadcast):
+def _scan(held: Broadcast, column: str):
     def run(batches):
         grams: GramSet = held.value
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            earlier = batch.column("hits").to_pylist()
+            earlier = batch.column(column).to_pylist()
             words = [words_of(t) if t is not None else [] for t in texts]
             counts = np.array([len(w) for w in words], dtype=np.int64)
             starts = np.concatenate(([0], np.cumsum(counts + 1)))
@@ -168,44 +168,50 @@ def _scan(held: Broadcast):
                 {"n_words": n, "spans": [{"begin": b, "end": e} for b, e in merged(s)], "items": sorted(i)}
                 for n, s, i in zip(counts.tolist(), spans, items)
             ]
-            at = batch.schema.get_field_index("hits")
-            yield batch.set_column(at, "hits", pa.array(hits, HITS_ARROW))
+            at = batch.schema.get_field_index(column)
+            yield batch.set_column(at, column, pa.array(hits, HITS_ARROW))
 
-    return run
+    return tidy(run)
 
 
 def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-              block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of ``documents`` and ``hits``: words, merged hit spans (in words), items.
+              block_bytes: int = BLOCK_BYTES, column: str = "hits") -> DataFrame:
+    """All columns of ``documents`` and ``column``: words, merged hit spans (in words), items.
 
-    A column of the documents that is already called ``hits`` is replaced.
+    A column of the documents that is already called so is replaced. Windows beyond
+    ``block_bytes`` make several passes, each written before the next, so that a task holds
+    one block of them.
     """
     spark = documents.sparkSession
     prepare(spark)
-    grams = item_windows(benchmark, window)
-    total = grams.agg(F.sum(F.length("gram") + F.length("item"))).first()[0] or 0
+    grams = settle(item_windows(benchmark, window), "benchmark-windows")
+    total = grams.agg(F.sum(F.octet_length("gram") + F.octet_length("item"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    out = documents.withColumn("hits", F.lit(None).cast(HITS))
+    out = documents.withColumn(column, F.lit(None).cast(HITS))
     for block in range(blocks):
         own = grams.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == block)
         held = spark.sparkContext.broadcast(GramSet([tuple(r) for r in own.collect()]))
-        out = out.mapInArrow(_scan(held), out.schema)
+        out = out.mapInArrow(_scan(held, column), out.schema)
+        if block + 1 < blocks:
+            out = settle(out, "benchmark-pass")
     return out
 
 
 def remove_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any hit."""
-    return find_hits(documents, benchmark, window).filter(F.size("hits.spans") == 0).select(
-        *documents.columns
-    )
+    hits = free_name(documents.columns, "hits")
+    found = find_hits(documents, benchmark, window, column=hits)
+    return found.filter(F.size(F.col(hits)["spans"]) == 0).drop(hits)
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """All documents, hit words and what stands between them taken out of the text."""
+    hits_ = free_name(documents.columns, "hits")
+
     def cut(batches):
         for batch in slices(batches):
             out = []
-            for text, hits in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist()):
+            for text, hits in zip(batch.column("text").to_pylist(), batch.column(hits_).to_pylist()):
                 if hits["spans"]:
                     places = [m.span() for m in WORD.finditer(text)]
                     kept, last = [], 0
@@ -216,5 +222,5 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
                 out.append(text)
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
 
-    found = find_hits(documents, benchmark, window)
-    return found.mapInArrow(cut, found.schema).select(*documents.columns)
+    found = find_hits(documents, benchmark, window, column=hits_)
+    return found.mapInArrow(cut, found.schema).drop(hits_)

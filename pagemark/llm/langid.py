@@ -8,14 +8,15 @@ that comes first in order.
 
 Profiles are counted over all texts that have a language: tasks count n-grams of their
 rows, the counts are added by (language, n-gram), and the first ``SIZE`` of each language
-are ranked. Only these reach the driver and the tasks; their number is bounded by
-``MAX_LANGUAGES`` * SIZE rows. Identification is a map over rows. Work on a text is in
+are ranked. Only these reach the driver and the tasks, as (n-gram, language, rank); their
+number is bounded by ``MAX_LANGUAGES`` * SIZE, 64 MB. Identification is a map over rows. Work on a text is in
 numpy, in slices of some megabytes; a long text is one row's work.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is
 every text if nothing was learned; null languages are not learned from; repeated rows
 count as often as they stand there; a column of the documents that is already called
-``lang_pred`` or ``lang_score`` is replaced.
+like one of the new ones (``lang_pred`` and ``lang_score``, if no other names are given) is
+replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemark.llm.common import prepare, slices
+from pagemark.llm.common import prepare, slices, tidy
 
 SIZE = 400
-MAX_LANGUAGES = 2_000
+MAX_LANGUAGES = 10_000
+#: Texts worked on at a time; their numpy copies take 60 times as much.
+SLICE = 1 << 18
 UNKNOWN = "und"
 #: Letters are below 2 ** 18; an n-gram is up to three of them and its length.
 BITS = 18
@@ -94,7 +97,7 @@ def _count(batches):
                 ["lang", "gram", "n"],
             )
 
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SLICE):
         by_lang: dict[str, list[np.ndarray]] = {}
         for lang, grams in zip(batch.column("lang").to_pylist(), grams_of(batch.column("text").to_pylist())):
             by_lang.setdefault(lang, []).append(grams)
@@ -117,31 +120,35 @@ def learn(labelled: DataFrame, size: int = SIZE) -> dict[str, list[int]]:
     """The profile of each language, from rows (lang, text)."""
     prepare(labelled.sparkSession)
     texts = labelled.select(F.col("lang").cast("string").alias("lang"), "text").dropna()
-    counts = texts.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(
+    counts = texts.mapInArrow(tidy(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(
         F.sum("n").alias("n")
     )
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
-    rows = top.select("lang", "gram", "rank").limit(MAX_LANGUAGES * size + 1).collect()
-    if len(rows) > MAX_LANGUAGES * size:
+    rows = top.select("lang", "gram", "rank").limit(MAX_LANGUAGES * size + 1).toArrow()
+    if rows.num_rows > MAX_LANGUAGES * size:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = rows.sort_by([("lang", "ascending"), ("rank", "ascending")])
     profiles: dict[str, list[int]] = {}
-    for row in sorted(rows, key=lambda r: (r.lang, r.rank)):
-        profiles.setdefault(row.lang, []).append(row.gram)
+    for lang, gram in zip(rows.column("lang").to_pylist(), rows.column("gram").to_pylist()):
+        profiles.setdefault(lang, []).append(gram)
     return profiles
 
 
 class Profiles:
-    """Ranks of all n-grams of all profiles, for a look-up in one go."""
+    """For every n-gram the languages that have it and its rank there."""
 
     def __init__(self, profiles: dict[str, list[int]], size: int):
         self.size = size
         self.names = sorted(profiles)
-        self.grams = np.unique(np.array([g for p in profiles.values() for g in p], dtype=np.int64))
-        self.ranks = np.full((len(self.names), len(self.grams) + 1), -1, dtype=np.int64)
-        for row, name in enumerate(self.names):
-            at = np.searchsorted(self.grams, np.array(profiles[name], dtype=np.int64))
-            self.ranks[row, at] = np.arange(len(at))
+        own = [np.array(profiles[name], dtype=np.int64) for name in self.names]
+        grams = np.concatenate([np.zeros(0, dtype=np.int64), *own])
+        langs = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
+        ranks = np.concatenate([np.zeros(0, dtype=np.int32), *(np.arange(len(x), dtype=np.int32) for x in own)])
+        order = np.argsort(grams, kind="stable")
+        self.langs, self.ranks = langs[order], ranks[order]
+        self.grams, first = np.unique(grams[order], return_index=True)
+        self.starts = np.append(first, len(grams))
 
     def guess(self, grams: np.ndarray) -> tuple[str, float]:
         if not len(grams) or not self.names:
@@ -149,28 +156,33 @@ class Profiles:
         own, counts = np.unique(grams, return_counts=True)
         own = own[np.argsort(-counts, kind="stable")[:self.size]]
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
-        at = np.where(self.grams[at] == own, at, len(self.grams))
-        ranks = self.ranks[:, at]
-        away = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(own)))).sum(axis=1)
+        there = self.grams[at] == own
+        # every n-gram is out of place by the whole length, less what a language that has it saves
+        counts = np.where(there, self.starts[at + 1] - self.starts[at], 0)
+        entry = np.arange(counts.sum()) + np.repeat(self.starts[at] - np.cumsum(counts) + counts, counts)
+        gap = np.abs(self.ranks[entry] - np.repeat(np.arange(len(own)), counts))
+        saved = np.bincount(self.langs[entry], self.size - gap, len(self.names)).astype(np.int64)
+        away = self.size * len(own) - saved
         best = int(away.argmin())
         return self.names[best], float(1 - away[best] / (self.size * len(own)))
 
 
-def identify(documents: DataFrame, profiles: dict[str, list[int]], size: int = SIZE) -> DataFrame:
-    """All columns, ``lang_pred`` and ``lang_score``: from 0 to 1, 1 for the profile itself."""
+def identify(documents: DataFrame, profiles: dict[str, list[int]], size: int = SIZE,
+             pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """All columns, the language and its score: from 0 to 1, 1 for the profile itself."""
     spark = documents.sparkSession
     prepare(spark)
     held = spark.sparkContext.broadcast(Profiles(profiles, size))
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             found = [held.value.guess(g) for g in grams_of(batch.column("text").to_pylist())]
-            for name, kind, values in (("lang_pred", pa.string(), [f[0] for f in found]),
-                                       ("lang_score", pa.float64(), [f[1] for f in found])):
+            for name, kind, values in ((pred, pa.string(), [f[0] for f in found]),
+                                       (score, pa.float64(), [f[1] for f in found])):
                 batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(values, kind))
             yield batch
 
-    out = documents.withColumn("lang_pred", F.lit(None).cast("string")).withColumn(
-        "lang_score", F.lit(None).cast("double")
+    out = documents.withColumn(pred, F.lit(None).cast("string")).withColumn(
+        score, F.lit(None).cast("double")
     )
-    return out.mapInArrow(run, out.schema)
+    return out.mapInArrow(tidy(run), out.schema)

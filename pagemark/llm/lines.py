@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemark.llm.common import components, settle
+from pagemark.llm.common import components, free_name, settle
 
 EDITS = 2
 MIN_CHARS = 20
@@ -284,14 +284,15 @@ def line_classes(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_
 
 def dedupe_lines(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """All documents and columns; of each class of lines only the first one stays in the texts."""
+    own_id, own_text, out = (free_name(documents.columns, c) for c in ("drop_id", "drop_text", "drops"))
     drops = line_classes(documents, edits, min_chars).filter(~F.col("kept")).groupBy(
-        F.col("doc_id").alias("_drop_id"), F.col("text_key").alias("_drop_text")
-    ).agg(F.collect_list("line_no").alias("_drops"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_drop_id")) & (
-        F.xxhash64("text") == F.col("_drop_text"))
+        F.col("doc_id").alias(own_id), F.col("text_key").alias(own_text)
+    ).agg(F.collect_list("line_no").alias(out))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (
+        F.xxhash64("text") == F.col(own_text))
     kept = _bind(F.split("text", "\n"), lambda lines: F.array_join(F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drops")),
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(out)),
         lambda i: F.get(lines, i),
     ), "\n"))
-    text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(kept)
+    text = F.when(F.col(out).isNull(), F.col("text")).otherwise(kept)
     return documents.join(drops, same, "left").withColumn("text", text).select(*documents.columns)

@@ -105,6 +105,9 @@ class WordTokenizer:
     behind letters are pieces of their own, so a word and its marks are encoded apart.
     Words of letters alone go in runs: each is one piece, and a piece's last token is one
     with the suffix. If a run has not as many of those as words, its words go one by one.
+
+    The library finds the strings of special tokens in a text before anything else. Texts
+    that hold one go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -112,7 +115,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words: dict[bytes, bytes] = {}
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -158,12 +161,17 @@ class WordTokenizer:
             self.words[raw] = self.words[base] + self.words[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        whole = {i for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
+        cut = [b"" if i in whole else (t or "").encode("utf-8", "surrogatepass") for i, t in enumerate(texts)]
+        cut = [raw.split() for raw in cut]
         if len(self.words) > REMEMBERED:
             self.words.clear()
         self._learn(list(set().union(*cut).difference(self.words)))
         known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in cut]
+        out = [b"".join(map(known, words)) for words in cut]
+        for i in whole:
+            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return out
 
 
 @lru_cache(maxsize=2)

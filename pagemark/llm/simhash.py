@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemark.llm.common import components, prepare, settle, slices
+from pagemark.llm.common import components, free_name, prepare, settle, slices
 
 WIDTH = 4
 DISTANCE = 4
@@ -186,14 +186,15 @@ def keep_one(documents: DataFrame, width: int = WIDTH, distance: int = DISTANCE)
     Of rows of a group that repeat the id, the one with the smaller text hash stays; an
     id that is in two groups stays in both.
     """
+    own_id, own_text = (free_name(documents.columns, c) for c in ("kept_id", "kept_text"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
     kept = near_duplicates(documents, width, distance).groupBy("root").agg(first).select(
-        F.col("first.doc_id").alias("_kept_id"), F.col("first.text_key").alias("_kept_text")
+        F.col("first.doc_id").alias(own_id), F.col("first.text_key").alias(own_text)
     )
-    keyed = documents.withColumn("_kept_id", F.col("doc_id").cast("long")).withColumn(
-        "_kept_text", F.xxhash64("text")
+    keyed = documents.withColumn(own_id, F.col("doc_id").cast("long")).withColumn(
+        own_text, F.xxhash64("text")
     )
-    same = F.col("d._kept_id").eqNullSafe(F.col("k._kept_id")) & (
-        F.col("d._kept_text") == F.col("k._kept_text"))
+    same = F.col(f"d.{own_id}").eqNullSafe(F.col(f"k.{own_id}")) & (
+        F.col(f"d.{own_text}") == F.col(f"k.{own_text}"))
     rows = keyed.alias("d").join(kept.alias("k"), same, "left_semi")
-    return rows.dropDuplicates(["_kept_id", "_kept_text"]).select(*documents.columns)
+    return rows.dropDuplicates([own_id, own_text]).select(*documents.columns)

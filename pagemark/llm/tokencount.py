@@ -63,7 +63,10 @@ class Counter:
 
     def leaves(self, text: str, leaf_chars: int) -> tuple[list[int], list[int]]:
         """Characters and tokens of the leaves of a text."""
-        pieces = self.pattern.findall(text)
+        return self.gather(self.pattern.findall(text), leaf_chars)
+
+    def gather(self, pieces: list[str], leaf_chars: int) -> tuple[list[int], list[int]]:
+        """Characters and tokens of the leaves that pre-tokens make."""
         chars, tokens, size, sum_ = [], [], 0, 0
         for piece, n in zip(pieces, self.tokens(pieces)):
             size += len(piece)
@@ -186,8 +189,9 @@ class Tree:
             texts, tokens = [], []
             for leaf, text in enumerate(self.texts):
                 if leaf == first:
-                    chars, counts = self.count.leaves(text, self.leaf_chars)
-                    # the leaf is made of whole pre-tokens, cut here as they were above
+                    # of the pre-tokens found in their place: alone, white space at the end of
+                    # the leaf would be cut in another way
+                    chars, counts = self.count.gather(pieces, self.leaf_chars)
                     place = 0
                     for n in chars:
                         texts.append(text[place:place + n])

@@ -56,3 +56,12 @@ def test_null_ids_and_empty(spark):
     assert {r.decoded for r in bpe.decode(ids, PATH, PATTERN).collect()} == {None, b""}
     empty = spark.createDataFrame([], "text string")
     assert bpe.encode(empty, PATH, PATTERN).collect() == []
+
+
+def test_round_trip(spark):
+    rows = [(1, "a tion é"), (2, None), (3, ""), (4, "x" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id as ids", "'y' as more")
+    got = bpe.round_trip(docs, PATH, PATTERN).collect()
+    want = bpe.encode(docs, PATH, PATTERN).collect()
+    assert [(r.doc_id, r.ids, r.more) for r in got] == [(r.doc_id, r.ids, r.more) for r in want]
+    assert all(r.decodes for r in got)

@@ -82,3 +82,15 @@ def test_long_text(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = D.find_hits(docs, spark.createDataFrame([(1, "one two three")], "item_id long, text string")).first()
     assert [(s.begin, s.end) for s in got.hits.spans] == [(200_000, 200_003)]
+
+
+def test_one_block_at_a_time(spark):
+    docs = spark.createDataFrame([(i, f"a b c{i} d e {i}") for i in range(20)], "doc_id long, hits string")
+    docs = docs.withColumnRenamed("hits", "text").selectExpr("*", "doc_id as hits", "'x' as HITS_")
+    bench = spark.createDataFrame([(i, f"b c{2 * i}") for i in range(10)], "item_id long, text string")
+    found = D.find_hits(docs, bench, block_bytes=10, column="found")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # the earlier passes were written
+    assert {r.doc_id for r in found.filter("size(found.spans) > 0").collect()} == set(range(0, 20, 2))
+    for kept in (D.remove_documents(docs, bench), D.remove_spans(docs, bench)):
+        assert kept.schema == docs.schema and all(r[2] == r.doc_id and r[3] == "x" for r in kept.collect())

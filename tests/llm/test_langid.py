@@ -70,6 +70,34 @@ def test_distance():
     assert profiles.guess(np.array([7, 7, 7, 6, 6, 5])) == ("y", 1 - 3 / 9)
 
 
+def test_guess_as_a_whole():
+    rng = random.Random(4)
+    pool = "abcdeé "
+    for size in (3, 20, 400):
+        profiles = {}
+        for name in ("zz", "aa", "mm", "bb"):
+            grams = langid.grams_of(["".join(rng.choices(pool, k=400))])[0].tolist()
+            profiles[name] = sorted(set(grams), key=lambda g: (-grams.count(g), g))[:size]
+        own = langid.Profiles(profiles, size)
+        for _ in range(40):
+            text = "".join(rng.choices(pool + "xyz", k=rng.randrange(1, 200)))
+            grams = Counter(langid.grams_of([text])[0].tolist())
+            order = sorted(grams, key=lambda g: (-grams[g], g))[:size]
+            if not order:
+                continue
+            away = {name: sum(abs(p.index(g) - i) if g in p else size for i, g in enumerate(order))
+                    for name, p in profiles.items()}
+            best = min(sorted(away), key=away.get)
+            got = own.guess(langid.grams_of([text])[0])
+            assert got == (best, 1 - away[best] / (size * len(order)))
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "der und", 7, [1])], "doc_id long, text string, lang_pred int, lang_score array<int>")
+    found = langid.identify(docs, {"x": [5]}, pred="p", score="s").first()
+    assert (found.lang_pred, found.lang_score, found.p) == (7, [1], "x")
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="test tables not there")
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

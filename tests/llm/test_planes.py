@@ -37,20 +37,27 @@ def test_other_bytes():
 
 def test_words_as_in_whole_texts():
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     rng = random.Random(6)
     own = planes.WordTokenizer(PATH)
     alphabet = ["th", "the", "é", "ß", "İ", "ñ", "漢", "ı", "'s", "'", ".", ",", "!?", ";", ":", "1", "-", " ", " ", "\n",
-                "e\u0301", "ﬁ", "Σ", "\u00a0", "ʼn", "A", "x"]
+                "e\u0301", "ﬁ", "Σ", "\u00a0", "ʼn", "A", "x",
+                "<|endoftext|>", "<|startoftext|>", "<|endoftext|"]
     texts = ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(3000)]
     assert [np.frombuffer(i, "<u4").tolist() for i in own.encode(texts)] == [
         e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_special_strings():
+    own = planes.WordTokenizer(PATH)
+    texts = ["<|endoftext|> a<|startoftext|>b", "a<|ENDOFTEXT|>", "<|endoftext |>", "x <|endoftext|>\n\n y.", None]
+    got = [np.frombuffer(i, "<u4").tolist() for i in own.encode(texts)]
+    assert got == [Tokenizer.from_file(PATH).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got[0] == [49407, 320, 49406, 321]
+
+
 @pytest.mark.parametrize("unit", [1, 8])
 def test_written_files(spark, tmp_path, unit):
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     rows = [(i * 7 % 23 if i else None, t, "x") for i, t in enumerate(TEXTS)] + [(5, "again", "y")] * 2
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
     path = str(tmp_path / "planes")

@@ -36,6 +36,29 @@ def test_random_edits(leaf_chars):
             assert sum(chars) == len(text) and sum(tokens) == tree.tokens[1]
 
 
+@pytest.mark.parametrize("blank", ["\n\n", "\t", "  ", " \n \n", "\u00a0 "])
+def test_leaves_that_grow_and_end_in_blanks(blank):
+    rng = random.Random(len(blank))
+    count = tokencount.Counter(PATH, PATTERN)
+    library = count.library.encode_ordinary
+    text = ("ab" + blank) * 400
+    for at in [0, 1, 2, 3, 4, 5, 700, len(text) - 2, len(text)]:
+        tree = tokencount.Tree(count, text, *count.leaves(text, 512))
+        tree.edit(at, 0, text[:5000] + "x" * 100)
+        assert tree.tokens[1] == len(library(tree.text())), at
+    tree, now = tokencount.Tree(count, text, *count.leaves(text, 512)), text
+    for _ in range(150):  # many small inserts at one place, then large ones anywhere
+        tree.edit(900, 0, put := rng.choice([blank, "a" + blank, blank + "b", " "]) * 9)
+        now = edited(now, 900, 0, put)
+        assert tree.tokens[1] == len(library(now))
+    for _ in range(12):
+        at, cut = rng.randrange(len(now)), rng.choice([0, 6000])
+        put = "".join(rng.choices(["word", blank, " ", "é", "12"], k=rng.choice([1, 3000])))
+        tree.edit(at, cut, put)
+        now = edited(now, at, cut, put)
+        assert tree.text() == now and tree.tokens[1] == len(library(now))
+
+
 def test_only_the_region_is_encoded():
     count = tokencount.Counter(PATH, PATTERN)
     text = "some words stand here and there, " * 9000
