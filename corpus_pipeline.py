@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemark.llm import bpe, decontaminate, langid, lines, simhash
-from pagemark.llm.common import settle, table
+from pagemark.llm.common import free_name, settle, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Languages are learned from the labelled documents themselves.
     """
     profiles = langid.learn(docs)
-    found = langid.identify(docs, profiles)
-    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    pred, score = (free_name(docs.columns, c) for c in ("lang_pred", "lang_score"))
+    found = langid.identify(docs, profiles, pred=pred, score=score)
+    return found.filter(F.col(pred) != langid.UNKNOWN).drop(pred, score)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +42,15 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their ids (little-endian unsigned 32-bit numbers), decoded once to check."""
+    """The documents with their ids (little-endian unsigned 32-bit numbers), decoded once to check.
+
+    Columns of theirs called ids, n_tokens or decodes give way.
+    """
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in ("ids", "n_tokens", "decodes")))
+    encoded = bpe.round_trip(docs, ranks, pattern)
     return encoded.select(
-        *docs.columns, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        (F.col("decoded") == F.col("text").cast("binary")).alias("decodes"),
-    )
+        *docs.columns, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "decodes")
 
 
 STAGES = [
