@@ -139,4 +139,4 @@ def test_attributes_and_references(apply):
     assert apply(lambda t: H.attr(t, "href"), tags) == [
         "real", "yes", "y", "a b", "x/y", "z", None, "1", "á→½&&notthere;"]
     texts = ["&ecirc;&nbsp;&amp;lt;", "a&#5;b&#x6;c&#127;", "&#9;&#10;&#8364;", None]
-    assert apply(H.decode_entities, texts) == ["ê &lt;", "a\ufffdb\ufffdc\ufffd", "\t\n€", None]
+    assert apply(H.decode_entities, texts) == ["ê\u00a0&lt;", "a\ufffdb\ufffdc\ufffd", "\t\n€", None]
