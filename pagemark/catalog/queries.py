@@ -624,6 +624,81 @@ def fetches_in_time(spark, directory):
     )
 
 
+@query
+def fetches_in_any_order(spark, directory):
+    """Two fetches of each page in both orders of arrival, late, repeated and lost captures."""
+    folder = scratch(spark, "fetch-orders")
+    pages = read_pages(spark, directory).cache()
+    captures = variants.captures(pages)
+    columns = [c for c in captures.columns if c != "page_id"]
+    one, two = variants.fetches(pages), variants.second_fetches(pages)
+    last = pages.agg(F.max("page_id")).first()[0] or 0
+    lateness = f"{last + 60} seconds"  # of the pages' own clock, so that nothing before the end is late
+
+    def end(hours):
+        return spark.range(1).select(
+            F.lit(last + 2 * last + 3600 * hours).alias("page_id"), F.lit("sentinel").alias("url"),
+            F.lit("<article><p>end</p></article>").alias("html"))
+
+    even, late = F.col("page_id") % 2 == 0, F.col("page_id") % 5 == 4
+    lost = captures.filter("page_id % 11 = 0").withColumn("url", F.concat("url", F.lit("#lost")))
+    for c, f in (
+        (captures.filter(~late), one.filter(even).unionByName(two.filter(~even))),
+        (captures.filter(late), two.filter(even).unionByName(one.filter(~even))),
+        (captures.filter("page_id % 7 = 0"), one.limit(0)),
+        (variants.captures(end(1)), variants.fetches(end(1))),
+        (lost, one.limit(0)),
+        (variants.captures(end(2)), variants.fetches(end(2))),
+    ):
+        c.select(columns).write.mode("append").parquet(f"{folder}/captures")
+        f.drop("page_id").write.mode("append").parquet(f"{folder}/fetches")
+        joined = streams.join_fetch_stream(
+            streams.read_stream(spark, f"{folder}/captures", captures.select(columns).schema),
+            streams.read_stream(spark, f"{folder}/fetches", one.drop("page_id").schema),
+            watermark=lateness, salts=2,
+        )
+        streams.start(joined.select("url", "captured_at", "fetched_at", "fetch_ok"), f"{folder}/out",
+                      f"{folder}/checkpoint", available_now=True).awaitTermination()
+    pages.unpersist()
+    out = spark.read.parquet(f"{folder}/out")
+    rest = streams.unanswered(spark.read.parquet(f"{folder}/captures"), out).select(
+        "url", F.lit(None).cast("long").alias("fetched_at"), F.lit(None).cast("boolean").alias("fetch_ok"),
+        F.lit(False).alias("in_stream"))
+    answered = out.select("url", F.unix_seconds("fetched_at").alias("fetched_at"), "fetch_ok",
+                          F.lit(True).alias("in_stream"))
+    return answered.unionByName(rest).filter(F.col("url") != "sentinel")
+
+
+def _bucket_run(spark: SparkSession, directory: str) -> str:
+    """Captures of three files, a micro-batch each, answered from stored buckets of fetches."""
+    folder = scratch(spark, "bucket-stream")
+    pages = read_pages(spark, directory)
+    pages.repartitionByRange(3, "page_id").write.parquet(f"{folder}/pages")
+    streams.write_prepared(job.latest_fetches(_prepared(spark, directory)), f"{folder}/prepared", 16)
+    stream = streams.read_stream(spark, f"{folder}/pages", pages.schema, maxFilesPerTrigger=1)
+    streams.ingest_buckets(
+        variants.captures(stream).drop("page_id"), f"{folder}/prepared", folder, f"{folder}/checkpoint",
+        16, available_now=True,
+    ).awaitTermination()
+    return folder
+
+
+@query
+def ingest_buckets(spark, directory):
+    """The whole job on a stream that reads only the fetches of its own URLs."""
+    return _flat(spark.read.parquet(f"{_bucket_run(spark, directory)}/results"))
+
+
+@query
+def stream_counters(spark, directory):
+    """The run report of a stream, added up from the counters of its micro-batches."""
+    report = streams.counted(spark, _bucket_run(spark, directory))
+    return report.select(
+        "route", "chosen", "n", F.round("avg_score_a", 6).alias("avg_score_a"),
+        F.round("avg_score_b", 6).alias("avg_score_b"),
+    )
+
+
 @query
 def sql_functions(spark, directory):
     register_sql(spark)

@@ -82,6 +82,17 @@ def fetches(pages: DataFrame) -> DataFrame:
     )
 
 
+def second_fetches(pages: DataFrame) -> DataFrame:
+    """Another fetch of each page, before or after the first one, and never at its time."""
+    first, own = F.col("page_id") % 20, F.col("page_id") * 7 % 23
+    at = F.unix_seconds(captured_at()) + F.when(own == first, 22).otherwise(own)
+    return pages.select(
+        "page_id", "url", F.col("url").alias("final_url"), F.lit(200).alias("status_code"),
+        F.lit("text/html").alias("content_type"), "html", F.lit(True).alias("success"),
+        F.lit(None).cast("string").alias("error"), F.timestamp_seconds(at).alias("fetched_at"),
+    )
+
+
 def captured_at() -> Column:
     return F.timestamp_seconds(F.lit(1704067200) + F.col("page_id"))
 

@@ -15,10 +15,12 @@ Only dictionaries are joined with the counts, by pair, and come back to their ch
 links are kept as compressed planes meanwhile. A pair that is everywhere is one row of each
 chunk. The highest counts are broadcast: one number for each id of A's vocabulary.
 
-Long texts are encoded in parts of about ``PART_CHARS`` characters, cut before a space
-behind something else. A's pattern always begins a new piece there, and so does B if no
-entry of its vocabulary has a space behind another character, which is checked; else, and
-where there is no such space, a part is longer. A chunk is at least one document.
+Texts are encoded in segments, cut before every space between other characters, and each
+segment that a task has not met is encoded once. A's pattern always begins a new piece there,
+and so does B if no entry of its vocabulary has a space behind another character, which is
+checked; if one has, a text is one segment. Long texts are aligned in parts of about
+``PART_CHARS`` characters, cut at such places too; where there is none, a part is longer. A
+chunk is at least one document.
 
 Defined results: a null or empty text, and one whose tokens do not give its own bytes
 again (such as one with U+2581), has no tokens, zeros and an empty digest; strings of special
@@ -34,6 +36,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +45,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemark.llm.common import SLICE_BYTES, prepare, settle, slices
+from pagemark.llm.common import SLICE_BYTES, prepare, settle, slices, tidy
 
 CHUNK_BYTES = 8 << 20
 PART_CHARS = 1 << 18
+#: Segments remembered by a task; beyond it the memory starts afresh.
+REMEMBERED = 150_000
 SPACE_MARK = "▁"
-_CUT = re.compile(r"(?<=\S) ")
+# a space alone would be nothing to B
+_BETWEEN = re.compile(r"(?<=\S)(?= [\s\S])")
 
 ALIGNED = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, "
@@ -110,6 +116,8 @@ class Aligner:
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in own], dtype=np.int64)
                                       for own in (self.a_bytes, self.b_bytes))
         self.width = max(len(self.a_bytes), len(self.b_bytes))
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.bad: set[str] = set()
         self.named = np.array([mark + str(i) for mark in ",|;" for i in range(self.width)], dtype=object)
 
     def parts(self, text: str, limit: int = PART_CHARS) -> list[str]:
@@ -118,7 +126,7 @@ class Aligner:
         while self.cuttable and len(whole) - begin > limit:
             cut = whole.rfind(" ", begin + 1, begin + limit)
             if cut < 0 or whole[cut - 1].isspace():
-                found = _CUT.search(whole, begin + limit)
+                found = _BETWEEN.search(whole, begin + limit)
                 if not found:
                     break
                 cut = found.start()
@@ -126,20 +134,47 @@ class Aligner:
             begin = cut
         return [*out, whole[begin:]]
 
-    def _own(self, ids: list[int], token_bytes: list[bytes], raw: bytes) -> bool:
-        return b"".join(map(token_bytes.__getitem__, ids)) == raw
+    def forget(self) -> None:
+        for known in (*self.known, self.bad):
+            known.clear()
+
+    def _learn(self, segments: list[str]) -> None:
+        """Ids of new segments, and which of them do not give their own bytes again."""
+        a_ids = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
+        b_ids = self.b.encode([x[1:] for x in segments], num_threads=1)
+        raw = [x.encode() for x in segments]
+        whole, ends = b"".join(raw), np.cumsum([len(x) for x in raw])
+        for ids, token_bytes, sizes, known in zip(
+                (a_ids, b_ids), (self.a_bytes, self.b_bytes), (self.a_sizes, self.b_sizes), self.known):
+            flat = list(chain.from_iterable(ids))
+            numbers = np.array(flat, dtype="<u4")
+            cuts = np.cumsum([len(x) for x in ids])
+            packed, at = numbers.tobytes(), (4 * cuts).tolist()
+            known.update(zip(segments, map(packed.__getitem__, map(slice, [0, *at], at))))
+            reached = np.concatenate(([0], np.cumsum(sizes[numbers])))[cuts]
+            if b"".join(map(token_bytes.__getitem__, flat)) != whole or (reached != ends).any():
+                self.bad.update(x for x, own, bytes_ in zip(segments, ids, raw)
+                                if b"".join(map(token_bytes.__getitem__, own)) != bytes_)
+
+    def encode(self, parts: list[str]) -> tuple[list[bool], list[bytes], list[bytes]]:
+        """Of each part whether its tokens give it again, and if so its ids in A and in B."""
+        cut = [_BETWEEN.split(p) if self.cuttable else [p] for p in parts]
+        if len(self.known[0]) > REMEMBERED:
+            self.forget()
+        new = list(set().union(*cut).difference(self.known[0]))
+        for begin in range(0, len(new), 10_000):
+            self._learn(new[begin:begin + 10_000])
+        good = [self.bad.isdisjoint(segments) for segments in cut]
+        a, b = ([b"".join(map(known.__getitem__, segments)) if ok else b"" for segments, ok in zip(cut, good)]
+                for known in self.known)
+        return good, a, b
 
     def align(self, parts: list[str], doc: list[int]):
         """Of each part whether its tokens give it again, n_a, n_b, n_groups, n_links and groups;
         and distinct (doc, pair, times) of them all, in order."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        b_ids = self.b.encode([p[1:] for p in parts], num_threads=1)
-        good = [self._own(a, self.a_bytes, raw) and self._own(b, self.b_bytes, raw)
-                for a, b, raw in zip(a_ids, b_ids, (p.encode() for p in parts))]
-        a_ids = [ids if ok else [] for ids, ok in zip(a_ids, good)]
-        b_ids = [ids if ok else [] for ids, ok in zip(b_ids, good)]
-        n_a, n_b = (np.array([len(x) for x in ids], dtype=np.int64) for ids in (a_ids, b_ids))
-        a, b = (np.array([i for own in ids for i in own], dtype=np.int64) for ids in (a_ids, b_ids))
+        good, *ids = self.encode(parts)
+        n_a, n_b = (np.array([len(x) // 4 for x in own], dtype=np.int64) for own in ids)
+        a, b = (np.frombuffer(b"".join(own), "<u4").astype(np.int64) for own in ids)
         a_end, b_end = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         a_start, b_start = a_end - self.a_sizes[a], b_end - self.b_sizes[b]
         side = np.repeat(np.array([0, 1], dtype=np.int64), [len(a), len(b)])
@@ -240,7 +275,7 @@ def _runner(a_path: str, b_path: str, part_chars: int, slice_bytes: int):
         for batch in slices(batches, limit=slice_bytes):
             yield _aligned(own, batch, part_chars, slice_bytes)
 
-    return run
+    return tidy(run, lambda: aligner(a_path, b_path).forget())
 
 
 def _columns(documents: DataFrame) -> DataFrame:
