@@ -528,6 +528,15 @@ def ingest(spark, directory):
     return _flat(job.ingest(captures, variants.fetches(pages)))
 
 
+@query
+def ingest_refetched(spark, directory):
+    """The whole job on a fetch log that has every URL three times; the newest counts."""
+    folder = scratch(spark, "fetch-log")
+    pages = read_pages(spark, directory)
+    variants.fetches_thrice(pages).drop("page_id").write.parquet(folder)
+    return _flat(job.ingest(variants.captures(pages).drop("page_id"), spark.read.parquet(folder)))
+
+
 @query
 def latest_fetches(spark, directory):
     """The newest of several fetches of each URL, be it a success or not."""

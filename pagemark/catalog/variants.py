@@ -82,6 +82,17 @@ def fetches(pages: DataFrame) -> DataFrame:
     )
 
 
+def fetches_thrice(pages: DataFrame) -> DataFrame:
+    """The fetch log with an earlier failure and an earlier page for each of its rows."""
+    newest = fetches(pages)
+    before = lambda seconds: F.col("fetched_at") - F.make_dt_interval(secs=F.lit(seconds))
+    failed = newest.withColumn("success", F.lit(False)).withColumn("error", F.lit("Request timeout")).withColumn(
+        "fetched_at", before(9))
+    older = newest.withColumn("success", F.lit(True)).withColumn("html", F.lit(
+        "<article><h1>Old</h1><p>This is what the page said before.</p></article>")).withColumn("fetched_at", before(4))
+    return failed.unionByName(newest).unionByName(older)
+
+
 def second_fetches(pages: DataFrame) -> DataFrame:
     """Another fetch of each page, before or after the first one, and never at its time."""
     first, own = F.col("page_id") % 20, F.col("page_id") * 7 % 23

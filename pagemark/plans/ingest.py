@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from pagemark.functions import blockers
 from pagemark.functions.decide import REFETCH, compare_and_decide, fallback_decision
@@ -62,6 +63,26 @@ def latest_fetches(prepared: DataFrame) -> DataFrame:
     return prepared.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
 
 
+def newest_fetches(fetches: DataFrame) -> DataFrame:
+    """The rows of a raw fetch log that ``latest_fetches`` would choose, with their pages.
+
+    Only URLs, times and what decides ties are grouped; pages join again by the place of
+    their row. That is file and row number if the log is read from Parquet files; else it is
+    a hash of the whole row, and a row that is there twice is taken once. What is extracted
+    afterwards is one page for each URL, however often it was fetched.
+    """
+    keys = [c for c in ("url", "fetched_at", "success", "final_url", "error") if c in fetches.columns]
+    try:
+        placed = fetches.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("_place"))
+        unique = True
+    except AnalysisException:
+        placed, unique = fetches.withColumn("_place", F.xxhash64(*fetches.columns)), False
+    newest = latest_fetches(placed.select(*keys, "_place")).select("url", "_place")
+    same = F.col("f.url").eqNullSafe(F.col("n.url")) & (F.col("f._place") == F.col("n._place"))
+    kept = placed.alias("f").join(newest.alias("n"), same, "left_semi")
+    return (kept if unique else kept.dropDuplicates(["url", "_place"])).drop("_place")
+
+
 def without_meta(captures: DataFrame) -> DataFrame:
     """Of a capture's metadata only the time goes on, so the rest is not shuffled."""
     if "meta" not in captures.columns:
@@ -170,8 +191,8 @@ def compare_branch(joined: DataFrame, **options) -> DataFrame:
 
 
 def ingest(captures: DataFrame, fetches: DataFrame, **options) -> DataFrame:
-    """One result row per capture."""
-    return answer(join_candidates(captures, latest_fetches(prepare_fetches(fetches))), **options)
+    """One result row per capture; of a URL that was fetched more than once only the newest is extracted."""
+    return answer(join_candidates(captures, prepare_fetches(newest_fetches(fetches))), **options)
 
 
 def run_report(results: DataFrame) -> DataFrame:

@@ -275,3 +275,57 @@ def test_hot_url_of_a_backup(spark, results):
         "url string, title string, html string")
     backup = sinks.html_backup(pages, results)
     assert backup.count() == 51
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_newest_fetches_are_found_without_their_pages(spark, fetches, tmp_path):
+    page = "<article><p>" + "heron on the mill pond " * 20 + "</p></article>"
+    rows = [("u", 3, True, "b", page), ("u", 9, False, "a", None), ("v", None, False, "x", page),
+            ("v", 1, True, "y", page + "."), ("w", 2, False, "p", page), ("w", 2, True, "q", page),
+            ("w", 2, True, "q", page), (None, 1, True, "n", page), (None, 1, True, "n", page)]
+    log = spark.createDataFrame(rows, "url string, t long, success boolean, final_url string, html string") \
+        .withColumn("fetched_at", F.timestamp_seconds("t")).drop("t").withColumn("status_code", F.lit(200)) \
+        .withColumn("error", F.lit(None).cast("string"))
+    log.repartition(3).write.parquet(str(tmp_path / "log"))
+    stored = spark.read.parquet(str(tmp_path / "log"))
+    for own in (log, stored):
+        got = sorted((r.url or "", r.final_url) for r in job.newest_fetches(own).collect())
+        assert got == [("", "n"), ("u", "a"), ("v", "y"), ("w", "q")]
+        assert sorted((r.url or "", r.final_url) for r in job.latest_fetches(job.prepare_fetches(own)).collect()) == got
+    plan = plan_of(job.newest_fetches(stored).select("url", "html"))
+    first = plan.index("Window [row_number()")  # the scan below it is that of the grouped side
+    assert "html" not in plan[first:] and "file_path" in plan[first:]
+    prepared = plan_of(job.prepare_fetches(job.newest_fetches(stored)))
+    assert "regexp" not in prepared[prepared.index("Window [row_number()"):]
+
+
+def test_stored_fetches_are_pruned_by_bucket(spark, captures, fetches, tmp_path):
+    valid, _ = validate.validate_captures(captures)
+    streams.write_prepared(job.latest_fetches(job.prepare_fetches(fetches)), str(tmp_path / "p"), 8)
+    one = valid.filter(F.col("url") == URLS["tie"])
+    own = streams.prepared_for(one, str(tmp_path / "p"), 8)
+    plan = plan_of(own)
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan, plan
+    assert URLS["tie"] in {r.url for r in own.collect()} and len(own.inputFiles()) >= 1
+    assert own.count() < fetches.select("url").distinct().count()
+    assert streams.prepared_for(valid.limit(0), str(tmp_path / "p"), 8).count() == 0
+    assert set(own.columns) == set(job.latest_fetches(job.prepare_fetches(fetches)).columns)
+
+
+def test_batches_of_buckets_can_be_repeated(spark, captures, fetches, results, tmp_path):
+    valid, _ = validate.validate_captures(captures)
+    valid.repartition(2).write.parquet(str(tmp_path / "in"))
+    streams.write_prepared(job.latest_fetches(job.prepare_fetches(fetches)), str(tmp_path / "p"), 4)
+    for checkpoint in ("one", "two"):  # the second run does all batches again
+        stream = streams.read_stream(spark, str(tmp_path / "in"), valid.schema, maxFilesPerTrigger=1)
+        streams.ingest_buckets(stream, str(tmp_path / "p"), str(tmp_path / "out"), str(tmp_path / checkpoint), 4,
+                               available_now=True).awaitTermination()
+    key = ["url", "route", "chosen", "markdown"]
+    assert sorted(spark.read.parquet(str(tmp_path / "out/results")).select(key).collect()) == sorted(
+        results.select(key).collect())
+    shown = lambda df: sorted((r.route, r.chosen, r.n, round(r.avg_score_a, 9), round(r.avg_score_b, 9))
+                              for r in df.collect())
+    assert shown(streams.counted(spark, str(tmp_path / "out"))) == shown(job.run_report(results))

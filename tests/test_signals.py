@@ -112,3 +112,16 @@ def test_blocker_penalty(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], f"i int, f struct<{schema.replace(' boolean', ':boolean').replace(' string', ':string')}>")
     got = df.select("i", S.blocker_penalty(F.col("f")).alias("p")).orderBy("i").collect()
     assert [r.p for r in got] == [0.0, 0.0, 0.3, 0.3]
+
+
+def test_overlap_of_a_very_long_pair(spark):
+    from pagemark.functions.signals import semantic_overlap
+
+    # the same million words, in the second text moved by 1,000 places
+    numbers = F.sequence(F.lit(0), F.lit(999_999))
+    a, b = (F.array_join(F.transform(numbers, lambda i: F.concat(F.lit("w"), (i + k).cast("string"))), " ")
+            for k in (0, 1000))
+    row = spark.range(1).select(a.alias("a"), b.alias("b")).select(semantic_overlap(F.col("a"), F.col("b")).alias("o"))
+    shared = sum(999_000 - n + 1 for n in (1, 2, 3))
+    total = 2 * sum(1_000_000 - n + 1 for n in (1, 2, 3))
+    assert row.first().o == shared / (total - shared)
