@@ -13,8 +13,15 @@ distance that keeps the 2 * EDITS + 1 cells about the diagonal as bits of one nu
 Copies of a line are combined before they are indexed. Within a key, lines are first
 linked to the smallest indexed line of the key; only keys that then still hold several
 groups are joined, and only lines of different groups, so a group of near copies does not
-meet itself pair by pair. Everything is DataFrame functions: no Python on executors,
-nothing collected or broadcast.
+meet itself pair by pair. Many different lines may share a segment too (a URL prefix, a
+time stamp). What two near lines have beside a shared segment is within EDITS as well, so
+keys of more than ``CROWD`` rows are extended: the rest of the line is cut and probed in the
+same way, and lines meet only if they share a segment of the rest as well, and again for
+what is still crowded, up to ``LEVELS`` times. Lines that share that many segments, and so
+nearly all of their text, meet pair by pair in the end.
+
+Everything is DataFrame functions: no Python on executors, nothing collected. The ids of at
+most ``broadcast_rows`` lines that have candidates are broadcast; more go through a shuffle.
 
 A line is named by its 64-bit hash; two different lines share one with a probability of
 about n * n / 2 ** 65 for n lines.
@@ -32,6 +39,8 @@ from pyspark.sql import functions as F
 from pagemark.llm.common import components, free_name, settle
 
 EDITS = 2
+CROWD = 32
+LEVELS = 3
 MIN_CHARS = 20
 #: An edit changes the counts of letters by two at most.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -41,26 +50,26 @@ def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
-def segment_keys(line: str, length: str, edits: int = EDITS) -> tuple[list[Column], list[Column]]:
-    """Hashes of the line's own segments, and of its substrings that may be segments of others."""
+def segment_keys(line: Column, length: Column, edits: int = EDITS) -> list[tuple[Column, int, bool, Column, Column]]:
+    """(key, shorter, own, at, size) of the line's own segments, and of its substrings that may
+    be segments of lines that are ``shorter`` characters shorter."""
     parts = edits + 1
-
-    def key(at: Column, size: Column, of: Column, part: int) -> Column:
-        return F.xxhash64(F.substr(F.col(line), at + 1, size), of * parts + part)
-
-    own, probes = [], []
+    out = []
     for shorter in range(edits + 1):
-        of = F.col(length) - shorter
+        of = length - shorter
         for part in range(parts):
             begin = F.floor(of * part / parts).cast("int")
             size = F.floor(of * (part + 1) / parts).cast("int") - begin
-            if not shorter:
-                own.append(key(begin, size, of, part))
             left, right = part, edits - part  # edits that may stand before and behind
             for shift in range(max(-left, shorter - right), min(left, shorter + right) + 1):
-                if shorter or shift:
-                    probes.append(key(begin + shift, size, of, part))
-    return own, probes
+                key = F.xxhash64(F.substr(line, begin + shift + 1, size), of * parts + part)
+                out.append((key, shorter, not shorter and not shift, begin + shift, size))
+    return out
+
+
+def _spot(at: Column, size: Column, shorter: int) -> Column:
+    """Place and size of a segment, and how much shorter the line sought is, as one number."""
+    return F.shiftleft(at.cast("long"), 32) + size.cast("long") * 16 + shorter
 
 
 def edit_distance(a: str, b: str, edits: int = EDITS) -> Column:
@@ -167,21 +176,82 @@ def eligible_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFram
 
 
 def shared_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(key, line_id, own) for keys that an indexed line shares with another line."""
-    own, probes = segment_keys("line", "n", edits)
-    keys = [F.first(k).alias(f"k{i}") for i, k in enumerate(own + probes)]
-    distinct = lines.groupBy("line_id").agg(*keys)
+    """(key, line_id, own, spot, main) for keys that an indexed line shares with another line."""
+    entries = segment_keys(F.col("line"), F.col("n"), edits)
+    keys = [F.first(key).alias(f"k{i}") for i, (key, *_) in enumerate(entries)]
+    distinct = lines.groupBy("line_id").agg(F.first("n").alias("n"), *keys)
     rows = F.inline(F.array(*(
-        F.struct(F.col(f"k{i}").alias("key"), F.lit(i < len(own)).alias("own"))
-        for i in range(len(keys))
+        F.struct(F.col(f"k{i}").alias("key"), F.lit(own).alias("own"), _spot(at, size, shorter).alias("spot"))
+        for i, (_, shorter, own, at, size) in enumerate(entries)
     )))
     same = Window.partitionBy("key")
     keyed = distinct.select("line_id", rows)
     return keyed.select(
-        "key", "line_id", "own", F.min("line_id").over(same).alias("least"),
+        "key", "line_id", "own", "spot", F.min("line_id").over(same).alias("least"),
         F.max("line_id").over(same).alias("most"),
         F.min(F.when(F.col("own"), F.col("line_id"))).over(same).alias("main"),
-    ).filter("least < most and main is not null").select("key", "line_id", "own", "main")
+    ).filter("least < most and main is not null").select("key", "line_id", "own", "spot", "main")
+
+
+def _meeting(rows: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b, high, low) of lines of a key that are in different groups and have alike letters."""
+    there = rows.select(
+        "key", F.col("line_id").alias("b"), F.col("root").alias("root_b"), F.col("outside").alias("b_outside"),
+        *(F.col(x).alias(f"b_{x}") for x in LETTERS),
+    )
+    owners = rows.filter("own").select(
+        "key", F.col("line_id").alias("a"), F.col("root").alias("root_a"), F.col("outside").alias("a_outside"),
+        *(F.col(x).alias(f"a_{x}") for x in LETTERS),
+    )
+    return owners.join(there, "key").filter(
+        F.expr("root_a != root_b and (a_outside or b_outside)") & _alike(edits)
+    ).select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"),
+        F.greatest("root_a", "root_b").alias("high"), F.least("root_a", "root_b").alias("low"),
+    )
+
+
+def _extended(rows: DataFrame, edits: int) -> DataFrame:
+    """The rows of crowded keys under keys that have a segment of the rest of the line as well.
+
+    ``rest`` is what the line has beside the segments of its key so far.
+    """
+    at, size = F.shiftright("spot", 32), F.shiftright(F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)), 4)
+    rest = F.concat(F.substr(F.col("rest"), F.lit(1), at.cast("int")),
+                    F.substr("rest", (at + size + 1).cast("int")))
+    cut = rows.withColumn("shorter", F.col("spot").bitwiseAND(F.lit(15)).cast("int")).withColumn("rest", rest)
+    made = F.array(*(
+        F.struct(key.alias("more"), F.lit(shorter).alias("by"), F.lit(own).alias("indexed"),
+                 _spot(begin, length, shorter).alias("next"))
+        for key, shorter, own, begin, length in segment_keys(F.col("rest"), F.length("rest"), edits)
+    ))
+    return cut.select("*", F.inline(made)).filter(F.col("by") == F.col("shorter")).select(
+        F.xxhash64("key", "more").alias("key"), "line_id", (F.col("own") & F.col("indexed")).alias("own"),
+        F.col("next").alias("spot"), "root", "outside", "rest", *LETTERS,
+    )
+
+
+def candidates(rows: DataFrame, texts: DataFrame, edits: int = EDITS, crowd: int = CROWD,
+               levels: int = LEVELS) -> DataFrame:
+    """Pairs to verify, from rows (key, line_id, own, spot, root, outside, letters) of mixed keys."""
+    found = None
+    for level in range(1, levels + 1):
+        crowded = rows.groupBy("key").agg(F.count("*").alias("rows"), F.max("own").alias("any")).filter(
+            (F.col("rows") > crowd) & F.col("any")).select("key")
+        if level == levels:
+            now, crowded = rows, None
+        else:
+            crowded = settle(crowded, "line-crowds")
+            now = rows.join(crowded, "key", "left_anti")
+        pairs = _meeting(now, edits)
+        found = pairs if found is None else found.unionByName(pairs)
+        if crowded is None or crowded.isEmpty():
+            break
+        hot = rows.join(crowded, "key", "left_semi")
+        if level == 1:
+            hot = hot.join(texts.select("line_id", F.col("line").alias("rest")), "line_id")
+        rows = settle(_extended(hot, edits), "line-extended")
+    return found.distinct()
 
 
 def _texts_of(lines: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -227,28 +297,12 @@ def link_lines(lines: DataFrame, edits: int = EDITS, broadcast_rows: int = 500_0
         shared.join(rooted, "line_id", "left").join(of_main, "main", "left").join(
             texts.drop("line"), "line_id"
         ).select(
-            "key", "line_id", "own", F.coalesce("root", "line_id").alias("root"),
-            F.coalesce("main_root", "main").alias("main_root"), *LETTERS,
+            "key", "line_id", "own", "spot", F.coalesce("root", "line_id").alias("root"),
+            (F.coalesce("root", "line_id") != F.coalesce("main_root", "main")).alias("outside"), *LETTERS,
         ), "line-grouped",
     )
-    outside = F.col("root") != F.col("main_root")
-    mixed = grouped.filter(outside).select("key").distinct()
-    there = grouped.join(mixed, "key", "left_semi").select(
-        "key", F.col("line_id").alias("b"), F.col("root").alias("root_b"), outside.alias("b_outside"),
-        *(F.col(x).alias(f"b_{x}") for x in LETTERS),
-    )
-    owners = grouped.filter("own").select(
-        "key", F.col("line_id").alias("a"), F.col("root").alias("root_a"), outside.alias("a_outside"),
-        *(F.col(x).alias(f"a_{x}") for x in LETTERS),
-    )
-    across = settle(
-        owners.join(there, "key").filter(
-            F.expr("root_a != root_b and (a_outside or b_outside)") & _alike(edits)
-        ).select(
-            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"),
-            F.greatest("root_a", "root_b").alias("high"), F.least("root_a", "root_b").alias("low"),
-        ).distinct(), "line-across",
-    )
+    mixed = grouped.filter("outside").select("key").distinct()
+    across = settle(candidates(grouped.join(mixed, "key", "left_semi"), texts, edits), "line-across")
     found = _verified(across, texts, edits).select(F.col("high").alias("a"), F.col("low").alias("b"))
     second = settle(components(found).withColumnsRenamed({"node": "root", "component": "top"}), "line-second")
     alone = second.select(F.col("root").alias("line_id")).join(

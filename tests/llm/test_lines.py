@@ -106,3 +106,36 @@ def test_texts_through_a_shuffle(spark):
     rows = [(i, f"one line with number {i} in it here") for i in range(8)]
     own = lines.eligible_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert lines.link_lines(own, broadcast_rows=0).count() == 8
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_crowded_keys_lose_no_link(spark, monkeypatch, edits):
+    """Every key counts as crowded, so all pairs go through the extended keys."""
+    rng = random.Random(edits + 7)
+    monkeypatch.setattr(lines.candidates, "__defaults__", (lines.EDITS, 1, lines.LEVELS))
+    pool = ["https://example.test/a/" + "".join(rng.choices("abc", k=rng.randrange(4, 30))) for _ in range(12)]
+    rows = [(i, "\n".join(edited(rng, rng.choice(pool), rng.choice((0, 1, 2, 3))) for _ in range(5))) for i in range(50)]
+    got = lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string"), edits, min_chars=10).collect()
+    want = plain_classes(rows, edits, 10)
+    assert {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in got} == want
+
+
+def test_shared_prefix_does_not_make_all_pairs(spark, monkeypatch):
+    met = {}
+    settled = lines.settle
+
+    def counting(df, name):
+        out = settled(df, name)
+        if name == "line-across":
+            met[size] = out.count()
+        return out
+
+    monkeypatch.setattr(lines, "settle", counting)
+    rng = random.Random(5)
+    for size in (500, 4000):
+        texts = ["https://archive.example.test/" + "".join(rng.choices("abcdefghij", k=40)) for _ in range(size)]
+        texts += [t[:-1] + "!" for t in texts[:20]]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        classes = lines.line_classes(docs).collect()
+        assert len({r.class_id for r in classes}) == size and sum(not r.kept for r in classes) == 20
+    assert met[4000] <= 10 * max(met[500], 40)  # all pairs would be 64 times as many
