@@ -557,14 +557,11 @@ def run_report(spark, directory):
 
 @query
 def quarantined(spark, directory):
-    """Records that were turned away, and result rows without Markdown."""
-    valid, bad = validate.validate_captures(
-        variants.broken_captures(read_pages(spark, directory)).drop("page_id")
-    )
-    failed = job.quarantine_errors(job.answer(job.join_candidates(
-        valid, job.latest_fetches(_prepared(spark, directory))
-    )))
-    return bad.select("url", "reason").unionByName(failed)
+    """Records that were turned away, and result rows without Markdown, from one run of the job."""
+    pages = read_pages(spark, directory)
+    outcomes = job.ingest_to(
+        variants.broken_captures(pages).drop("page_id"), variants.fetches(pages), scratch(spark, "outcomes"))
+    return job.rejected(outcomes)
 
 
 # ---------------------------------------------------------- streams, SQL functions

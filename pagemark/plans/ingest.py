@@ -18,6 +18,7 @@ from pagemark.functions.html import page_text
 from pagemark.functions.markdown import clean_markdown, convert, fix_fragmented_code
 from pagemark.functions.signals import blocker_penalty
 from pagemark.functions.urls import normalize_links, redact_tokens, was_redirected
+from pagemark.sources.validate import flag_captures
 
 FALLBACK_ROUTES = ("fetch_failed", "redirect", "extraction_failed", "blocker")
 
@@ -167,7 +168,7 @@ def shape_results(rendered: DataFrame) -> DataFrame:
         "url", "title", d["chosen"].alias("chosen"), "route", "blocker", "markdown",
         d["score_diff"].alias("score_diff"), d["overlap"].alias("overlap"),
         d["blocker_penalty"].alias("blocker_penalty"), diagnostics.alias("diagnostics"),
-        "captured_at",
+        "captured_at", *(["reason"] if "reason" in rendered.columns else []),
     )
 
 
@@ -195,6 +196,35 @@ def ingest(captures: DataFrame, fetches: DataFrame, **options) -> DataFrame:
     return answer(join_candidates(captures, prepare_fetches(newest_fetches(fetches))), **options)
 
 
+def ingest_to(captures: DataFrame, fetches: DataFrame, path: str, **options) -> DataFrame:
+    """Write one row per capture, valid or not, by its outcome, and return the table written.
+
+    ``outcome`` is ``answered``, ``failed`` (no Markdown came out) or ``rejected`` (with the
+    ``reason``). Captures are read and checked once; a rejected one goes through without its
+    page. The folders of the outcomes are read on their own by ``answered`` and ``rejected``.
+    """
+    flagged = flag_captures(captures).drop("_corrupt")
+    for name in ("html", "text"):
+        flagged = flagged.withColumn(name, F.when(F.col("reason").isNull(), F.col(name)))
+    results = answer(join_candidates(flagged, prepare_fetches(newest_fetches(fetches))), **options)
+    outcome = F.when(F.col("reason").isNotNull(), "rejected").when(
+        F.col("markdown").isNull(), "failed").otherwise("answered")
+    written = results.withColumn("outcome", outcome)
+    written.write.partitionBy("outcome").parquet(path)
+    return captures.sparkSession.read.schema(written.schema).parquet(path)
+
+
+def answered(outcomes: DataFrame) -> DataFrame:
+    """The results of ``ingest_to``."""
+    return outcomes.filter("outcome = 'answered'").drop("outcome", "reason")
+
+
+def rejected(outcomes: DataFrame) -> DataFrame:
+    """(url, reason) of the records that ``ingest_to`` gave no result for."""
+    failed = outcomes.filter("outcome = 'failed'")
+    return outcomes.filter("outcome = 'rejected'").select("url", "reason").unionByName(quarantine_errors(failed))
+
+
 def run_report(results: DataFrame) -> DataFrame:
     """Counts and mean scores per route and choice."""
     return results.groupBy("route", "chosen").agg(

@@ -329,3 +329,18 @@ def test_batches_of_buckets_can_be_repeated(spark, captures, fetches, results, t
     shown = lambda df: sorted((r.route, r.chosen, r.n, round(r.avg_score_a, 9), round(r.avg_score_b, 9))
                               for r in df.collect())
     assert shown(streams.counted(spark, str(tmp_path / "out"))) == shown(job.run_report(results))
+
+
+def test_outcomes_come_from_one_pass(spark, captures, fetches, results, tmp_path):
+    captures.write.parquet(str(tmp_path / "c"))
+    outcomes = job.ingest_to(spark.read.parquet(str(tmp_path / "c")), fetches, str(tmp_path / "out"))
+    key = ["url", "route", "chosen", "markdown"]
+    assert sorted(job.answered(outcomes).select(key).collect()) == sorted(results.select(key).collect())
+    assert job.answered(outcomes).columns == results.columns
+    _, bad = validate.validate_captures(captures)
+    assert sorted(map(str, job.rejected(outcomes).collect())) == sorted(map(str, bad.select("url", "reason").collect()))
+    assert outcomes.count() == captures.count()
+    plan = plan_of(job.rejected(outcomes))
+    assert "outcome#" in plan and "= rejected" in plan and "PartitionFilters" in plan
+    none = job.ingest_to(captures.limit(0), fetches, str(tmp_path / "none"))
+    assert job.answered(none).collect() == [] == job.rejected(none).collect()

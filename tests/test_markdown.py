@@ -6,14 +6,14 @@ from pagemark.functions import languages as L
 from pagemark.functions import markdown as M
 
 PAGES = [
-    ("<h1>Title</h1><p>Paragraph text</p>", "# Title\n\nParagraph text"),
-    ("<div><script>alert('bad');</script><style>.t{color:red}</style><p>Good content</p></div>",
-     "Good content"),
-    ('<p>Check out <a href="https://e.com/a_b">this_link</a></p>',
-     "Check out [this\\_link](https://e.com/a_b)"),
-    ('<article><h1>Main</h1><h2>S</h2><p>In <em>it</em> <b>bold</b></p><ul> <li>1</li><li>2</li></ul>'
-     "<p>More<br>content</p><blockquote>A quote</blockquote></article>",
-     "# Main\n\n## S\n\nIn *it* **bold**\n\n- 1\n- 2\n\nMore  \ncontent\n\n> A quote"),
+    ("<h2>Tide tables</h2><div><p>Low water comes at dawn.</p></div>", "## Tide tables\n\nLow water comes at dawn."),
+    ('<main><style media=print>p > b{margin:2px}</style><p>Eels sleep under the weir.<script type="module">'
+     'let k = "</p>";</script></p></main>', "Eels sleep under the weir."),
+    ('<ol><li>Ask <a href="http://weir.test/log_9">log_9</a> first</li></ol>',
+     "1. Ask [log\\_9](http://weir.test/log_9) first"),
+    ("<section><h2>Mill</h2><h4>Wheel</h4><blockquote>Stones <i>grind</i> grain</blockquote><ol><li>oak</li> <li>ash"
+     "</li></ol><p>Then<br><strong>flour</strong></p></section>",
+     "## Mill\n\n#### Wheel\n\n> Stones *grind* grain\n\n1. oak\n2. ash\n\nThen  \n**flour**"),
     ("<ol start=3><li>x<li>y<ul><li>deep</li></ul></ol>after", "3. x\n4. y\n    - deep\n\nafter"),
     ("<table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2|3</td></tr></table>",
      "| A | B |\n| --- | --- |\n| 1 | 2\\|3 |"),
@@ -45,9 +45,9 @@ def test_header_and_fallback(spark):
     df = spark.createDataFrame(
         [(0, "<p>six herons</p>", "2021-05-04T03:02:01Z"), (1, None, "2021-05-04T03:02:01Z"),
          (2, "", "2021-05-04T03:02:01Z")], "i int, html string, at string")
-    out = df.select("i", M.convert(F.col("html"), F.lit("My Article"), F.lit("https://e.com/a"),
+    out = df.select("i", M.convert(F.col("html"), F.lit("Weir log no. 9"), F.lit("http://weir.test/9"),
                                    F.to_timestamp("at")).alias("m")).orderBy("i").collect()
-    assert out[0].m == ("# My Article\n\n**Source**: https://e.com/a  \n"
+    assert out[0].m == ("# Weir log no. 9\n\n**Source**: http://weir.test/9  \n"
                         "**Captured**: 2021-05-04 03:02:01 UTC\n\n---\n\nsix herons")
     assert "Failed to convert to Markdown" in out[1].m and out[1].m.endswith("```\n\n```\n")
     assert out[2].m.endswith("```\n...\n```\n")
@@ -55,11 +55,11 @@ def test_header_and_fallback(spark):
 
 def test_fragments(apply):
     cases = [
-        ("a\n`1from x import A\n2\n3# C\n4y = A(\"t\")`\nb",
-         "a\n\n```python\nfrom x import A\n\n# C\ny = A(\"t\")\n```\n\nb"),
-        ("`1const x = 10;`", "\n```javascript\nconst x = 10;\n```\n"),
+        ("rain\n`1import weir as w\n2\n3# sluice\n4gate = w.open(\"low\")`\nsun",
+         "rain\n\n```python\nimport weir as w\n\n# sluice\ngate = w.open(\"low\")\n```\n\nsun"),
+        ("`1const eels = [];`", "\n```javascript\nconst eels = [];\n```\n"),
         ("`404`", "\n```\n\n```\n"),
-        ("x `inline code` y\n```python\n# c\n```", "x `inline code` y\n```python\n# c\n```"),
+        ("the `sluice` opens\n```sh\nls\n```", "the `sluice` opens\n```sh\nls\n```"),
         ("`1a\nb`", "`1a\nb`"), ("``1a``", "`\n```\na\n```\n`"),
     ]
     assert apply(M.fix_fragmented_code, [c[0] for c in cases]) == [c[1] for c in cases]
