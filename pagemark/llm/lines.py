@@ -28,7 +28,9 @@ about n * n / 2 ** 65 for n lines.
 
 Defined results: shorter lines are never linked or removed; null texts have no lines and
 stay null; rows that repeat both id and text count as one document and come out alike; a
-null id comes first in the order of documents; an empty table gives no rows.
+null id comes first in the order of documents; an empty table gives no rows; a very long text
+or line is one row's work; ``line_classes`` reads doc_id and text alone, and ``dedupe_lines`` gives
+all other columns back as they are, whatever their names.
 """
 
 from __future__ import annotations

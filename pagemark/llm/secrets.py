@@ -16,7 +16,10 @@ Everything is DataFrame functions and JVM-side Spark ML: no Python on executors.
 
 Defined results: null texts have no candidates; a document without one gives no row;
 repeated rows give their findings again; with findings of one label only, that label is
-the answer for all (score 1 or 0); without any, all are kept with a null score.
+the answer for all (score 1 or 0); without any, all are kept with a null score; a very long text is one row's work and gives
+as many findings as it holds; only doc_id and text are read, so other columns may have any
+name. Words of the dictionary are runs of 4 to 16 letters: shorter and longer ones cover
+nothing of a candidate.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ are numbered inside their cell, so a group with a third of all rows is spread ou
 Everything on executors is DataFrame functions. Defined results: a null text has size 1
 and is a group of its own, apart from the empty text; repeated rows get a slot each; rows
 without an id come first in their cell; an empty table gives no rows; shards beyond what
-is needed stay empty.
+is needed stay empty; a text longer than a shard's share fills one alone; only doc_id and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

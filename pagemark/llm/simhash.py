@@ -17,7 +17,9 @@ property of the method.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any
 other; a repeated row is a copy of itself; a null id is used for a group only if all its
-ids are null; an empty table gives no rows.
+ids are null; an empty table gives no rows; a very long text is one row's work, in slices of
+the task's batch; ``near_duplicates`` reads doc_id and text alone, and ``keep_one`` gives all
+columns back as they are, whatever their names.
 """
 
 from __future__ import annotations
