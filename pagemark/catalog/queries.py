@@ -537,6 +537,25 @@ def ingest_refetched(spark, directory):
     return _flat(job.ingest(variants.captures(pages).drop("page_id"), spark.read.parquet(folder)))
 
 
+@query
+def ingest_without_templates(spark, directory):
+    """The whole job with blocks that two pages of a host share taken out of the re-fetched side.
+
+    The counts come from two crawls, the second added to the stored counts of the first.
+    """
+    folder = scratch(spark, "block-counts")
+    pages = read_pages(spark, directory)
+    fetches = variants.fetches(pages)
+    first, second = (fetches.filter(F.col("page_id") % 2 == half) for half in (0, 1))
+    templates.block_counts(first).write.parquet(f"{folder}/first")
+    stored = spark.read.parquet(f"{folder}/first")
+    templates.added_counts(stored, templates.block_counts(second)).write.parquet(f"{folder}/both")
+    return _flat(job.ingest(
+        variants.captures(pages).drop("page_id"), fetches.drop("page_id"),
+        spark.read.parquet(f"{folder}/both"), 2,
+    ))
+
+
 @query
 def latest_fetches(spark, directory):
     """The newest of several fetches of each URL, be it a success or not."""

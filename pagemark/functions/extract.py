@@ -211,6 +211,11 @@ NO_CONTENT = "no content"
 @reused
 def refetch_extraction(html: Column, min_chars: int = 1) -> Column:
     """Extraction of a re-fetched page with its summary; never NULL."""
+    return content_summary(density_html(F.coalesce(html, F.lit(""))), min_chars)
+
+
+def content_summary(content: Column, min_chars: int = 1) -> Column:
+    """Summary of main content that was found already."""
     def summary(s: Column) -> Column:
         ok = F.length(s["text"]) >= min_chars
         return F.struct(
@@ -222,7 +227,6 @@ def refetch_extraction(html: Column, min_chars: int = 1) -> Column:
             F.when(~ok, NO_CONTENT).alias("error"),
         )
 
-    content = density_html(F.coalesce(html, F.lit("")))
     return let(
         content,
         lambda inner: let(

@@ -38,6 +38,40 @@ def template_blocks(pages: DataFrame, min_pages: int, page: str = "page_id") ->
     )
 
 
+def block_counts(pages: DataFrame, page: str = "page_id") -> DataFrame:
+    """(host, text_hash, n_pages) of all blocks of a crawl, to be stored and added to."""
+    blocks = page_blocks(pages.select(page, "url", "html")).select(
+        url_host(F.col("url")).alias("host"), F.xxhash64("text").alias("text_hash"), page)
+    return blocks.groupBy("host", "text_hash").agg(F.countDistinct(page).alias("n_pages"))
+
+
+def added_counts(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored counts with those of a new crawl; the pages of the earlier ones are not read again.
+
+    A page that was crawled twice counts twice.
+    """
+    return stored.unionByName(new).groupBy("host", "text_hash").agg(F.sum("n_pages").alias("n_pages"))
+
+
+def drop_templates(pages: DataFrame, counts: DataFrame, min_pages: int, page: str = "page_id",
+                   column: str = "content") -> DataFrame:
+    """All columns and the main content without blocks that ``counts`` has on ``min_pages`` pages or more.
+
+    Pages need different values of ``page``; a null one is left with its template. Only hosts and
+    hashes of blocks meet the counts; pages then get back the places of the blocks to drop.
+    Counts come from a table, and with them a shuffle of their own, so adaptive execution
+    can split a block that stands on all pages of a large host.
+    """
+    kept = html.content_blocks(html.text_blocks(html.protect(F.col("html"))))
+    hashes = F.transform(kept, lambda b: F.xxhash64(_block_text(b)))
+    blocks = pages.select(page, url_host(F.col("url")).alias("host"), F.posexplode(hashes).alias("_at", "text_hash"))
+    known = counts.filter(F.col("n_pages") >= min_pages).select("host", "text_hash")
+    drops = blocks.join(known, ["host", "text_hash"], "left_semi").groupBy(page).agg(
+        F.collect_set("_at").alias("_drops"))
+    left = F.filter(kept, lambda b, i: ~F.coalesce(F.array_contains("_drops", i), F.lit(False)))
+    return pages.join(drops, page, "left").withColumn(column, html.blocks_html(left)).drop("_drops")
+
+
 def without_templates(pages: DataFrame, min_pages: int, page: str = "page_id") -> DataFrame:
     """(page, url, html): the main content of each page without the blocks of its template.
 

@@ -13,19 +13,25 @@ from pyspark.sql.utils import AnalysisException
 
 from pagemark.functions import blockers
 from pagemark.functions.decide import REFETCH, compare_and_decide, fallback_decision
-from pagemark.functions.extract import refetch_extraction
+from pagemark.functions.extract import content_summary, refetch_extraction
 from pagemark.functions.html import page_text
 from pagemark.functions.markdown import clean_markdown, convert, fix_fragmented_code
 from pagemark.functions.signals import blocker_penalty
 from pagemark.functions.urls import normalize_links, redact_tokens, was_redirected
+from pagemark.operators.templates import drop_templates
 from pagemark.sources.validate import flag_captures
 
 FALLBACK_ROUTES = ("fetch_failed", "redirect", "extraction_failed", "blocker")
 
 
-def prepare_fetches(fetches: DataFrame, min_chars: int = 1) -> DataFrame:
+def prepare_fetches(fetches: DataFrame, min_chars: int = 1, template_counts: DataFrame | None = None,
+                    template_min_pages: int = 0) -> DataFrame:
     """Everything the comparison needs to know about a fetch, without its raw HTML.
 
+    With ``template_counts`` (see ``operators.templates.block_counts``), blocks that are on
+    ``template_min_pages`` pages of their host or more are no content. This takes fetches
+    with one row per URL, as ``newest_fetches`` gives them.
+
     A column ``probe_error`` tells why a probe of the page failed, which costs the
     re-fetch a penalty. Write the result to a table when several jobs or a stream use
     the same fetches.
@@ -40,9 +46,13 @@ def prepare_fetches(fetches: DataFrame, min_chars: int = 1) -> DataFrame:
             "redirected"),
         F.when(~ok, F.col("error")).alias("fetch_error"),
     )
-    extracted = routed.withColumn(
-        "b", F.when(usable, refetch_extraction(F.col("html"), min_chars))
-    )
+    extraction = refetch_extraction(F.col("html"), min_chars)
+    if template_counts is not None and template_min_pages:
+        routed = drop_templates(
+            routed.withColumn("html", F.coalesce("html", F.lit(""))), template_counts, template_min_pages, "url",
+            "_content")
+        extraction = content_summary(F.col("_content"), min_chars)
+    extracted = routed.withColumn("b", F.when(usable, extraction)).drop("_content")
     probed = F.col("b.success") & blockers.should_probe(F.col("b.char_count"))
     flags = blockers.blocker_flags(
         F.col("status_code"), F.col("html"), page_text(F.col("html")),
@@ -191,9 +201,12 @@ def compare_branch(joined: DataFrame, **options) -> DataFrame:
     return shape_results(render(decide(routed), **options))
 
 
-def ingest(captures: DataFrame, fetches: DataFrame, **options) -> DataFrame:
+def ingest(captures: DataFrame, fetches: DataFrame, template_counts: DataFrame | None = None,
+           template_min_pages: int = 0, **options) -> DataFrame:
     """One result row per capture; of a URL that was fetched more than once only the newest is extracted."""
-    return answer(join_candidates(captures, prepare_fetches(newest_fetches(fetches))), **options)
+    prepared = prepare_fetches(
+        newest_fetches(fetches), template_counts=template_counts, template_min_pages=template_min_pages)
+    return answer(join_candidates(captures, prepared), **options)
 
 
 def ingest_to(captures: DataFrame, fetches: DataFrame, path: str, **options) -> DataFrame:
