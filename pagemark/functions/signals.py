@@ -136,38 +136,50 @@ def word_ngrams(text: Column, sizes: tuple[int, ...] = NGRAM_SIZES) -> Column:
     return ngrams_of(words(text), sizes)
 
 
-@reused
-def semantic_overlap(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the two n-gram sets; 0 if either is empty or missing.
+def word_hashes(text: Column) -> Column:
+    """64-bit hashes of the words of a text, in order; a missing text has none."""
+    return F.transform(words(_known(text)), lambda w: F.xxhash64(w))
 
-    Sets hold 64-bit hashes, chained from those of the words, and only those of one size at
-    a time: a long page costs some tens of bytes a word, and no string for each gram. Two
-    grams of a pair of a million words share a hash with a chance of about one in a million.
-    """
-    def hashes(text: Column) -> Column:
-        return F.transform(words(_known(text)), lambda w: F.xxhash64(w))
 
-    def grams(ws: Column, n: int) -> Column:
-        if n == 1:
-            return F.array_distinct(ws)
-        starts = F.sequence(F.lit(0), F.size(ws) - n)
-        made = F.transform(starts, lambda i: F.xxhash64(*(F.get(ws, i + k) for k in range(n))))
-        return F.when(F.size(ws) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<bigint>"))
+def hashed_grams(ws: Column, n: int) -> Column:
+    """Set of the n-grams of an array of word hashes, as hashes chained from them."""
+    if n == 1:
+        return F.array_distinct(ws)
+    starts = F.sequence(F.lit(0), F.size(ws) - n)
+    made = F.transform(starts, lambda i: F.xxhash64(*(F.get(ws, i + k) for k in range(n))))
+    return F.when(F.size(ws) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<bigint>"))
 
+
+def gram_counts(a: Column, b: Column) -> Column:
+    """Distinct n-grams of two arrays of word hashes: those of each, and those of both."""
     def counts(ws: Column, n: int) -> Column:
         # grams of other sizes are other grams, so one size after the other is enough
         return let(
-            F.struct(grams(ws["a"], n).alias("a"), grams(ws["b"], n).alias("b")),
+            F.struct(hashed_grams(ws["a"], n).alias("a"), hashed_grams(ws["b"], n).alias("b")),
             lambda g: F.struct(F.size(g["a"]).alias("a"), F.size(g["b"]).alias("b"),
                                F.size(F.array_intersect(g["a"], g["b"])).alias("shared")),
         )
 
-    def jaccard(all_: Column) -> Column:
-        n = {c: sum((all_[f"n{size}"][c] for size in NGRAM_SIZES), F.lit(0)) for c in ("a", "b", "shared")}
+    def summed(all_: Column) -> Column:
+        return F.struct(*(sum((all_[f"n{size}"][c] for size in NGRAM_SIZES), F.lit(0)).alias(c)
+                          for c in ("a", "b", "shared")))
+
+    both = F.struct(a.alias("a"), b.alias("b"))
+    return let(let(both, lambda ws: F.struct(*(counts(ws, n).alias(f"n{n}") for n in NGRAM_SIZES))), summed)
+
+
+@reused
+def semantic_overlap(a: Column, b: Column) -> Column:
+    """Jaccard similarity of the two n-gram sets; 0 if either is empty or missing.
+
+    Sets hold 64-bit hashes, chained from those of the words, and only those of one size at
+    a time: a long page costs some tens of bytes a word, and no string for each gram. Two
+    grams of a pair of a million words share a hash with a chance of about one in a million.
+    """
+    def jaccard(n: Column) -> Column:
         return F.when((n["a"] == 0) | (n["b"] == 0), 0.0).otherwise(n["shared"] / (n["a"] + n["b"] - n["shared"]))
 
-    both = F.struct(hashes(a).alias("a"), hashes(b).alias("b"))
-    return let(let(both, lambda ws: F.struct(*(counts(ws, n).alias(f"n{n}") for n in NGRAM_SIZES))), jaccard)
+    return let(gram_counts(word_hashes(a), word_hashes(b)), jaccard)
 
 
 def score_candidate(

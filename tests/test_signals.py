@@ -49,6 +49,44 @@ def test_overlap_of_a_very_long_text(spark):
     assert got[0].overlap == 1.0
 
 
+def test_overlap_exploded_of_repeated_keys(spark):
+    rows = [(1, "a b c d", "c d e"), (1, "x y", "a b"), (2, "a b", "a b"), (2, "a b", "a b"), (None, "q", "q r"),
+            (None, "r s t u v w", None), (3, "", None), (3, None, ""), (4, "a b c d e f g h", "h")]
+
+    def grams(key, at):
+        texts = [r[at].split() for r in rows if r[0] == key and r[at]]
+        return {tuple(t[i:i + n]) for t in texts for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    want = {}
+    for key in {r[0] for r in rows}:
+        a, b = grams(key, 1), grams(key, 2)
+        want[key] = len(a & b) / len(a | b) if a | b else 0.0
+    df = spark.createDataFrame(rows, "k int, text_a string, text_b string")
+    for size in (1, 2, 4096):
+        got = [(r.k, r.overlap) for r in semantic_overlap_exploded(df, "k", chunk_words=size).collect()]
+        assert len(got) == len(want) and dict(got) == pytest.approx(want)
+
+
+def test_overlap_exploded_shuffles_no_row_for_each_gram(spark):
+    def shuffled(plan):
+        own = plan.metrics().get("shuffleRecordsWritten")
+        below = plan.children()
+        return sum(shuffled(below.apply(i)) for i in range(below.size())) + (own.get().value() if own.isDefined() else 0)
+
+    text = F.expr("array_join(transform(sequence(1, 400), i -> string(i * (1 + id))), ' ')")
+    long = F.expr("array_join(transform(sequence(1, 20000), i -> string(i + id)), ' ')")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for rows, words in ((50, text), (2, long)):
+            df = spark.range(rows).select("id", words.alias("text_a"), words.alias("text_b"))
+            out = semantic_overlap_exploded(df, "id")
+            assert [r.overlap for r in out.collect()] == [1.0] * rows
+            assert shuffled(out._jdf.queryExecution().executedPlan()) < 400
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_missing_texts_and_pages(apply):
     empty, missing, half = apply(S.signals, [("", ""), (None, None), (None, "<h1>a</h1>")])
     assert empty == missing and missing.len_text == 0 and missing.density == 0.0 and missing.structure == 0
