@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,38 @@ DETECTION_RULES = (
     ("dockerfile", [r"(?im)^\s*(FROM|RUN|COPY|ADD|WORKDIR|ENV|EXPOSE)\s+"]),
 )
 # ---------------------------------------------------------------- end of fixed values
+#: Strings of which a text must hold one for the rule pattern to be found in it; they are
+#: looked for first, as that costs less. Patterns without an entry are tried on every text.
+NEEDED = {
+    r"(?i)<!DOCTYPE html>|<html|<div|<head|<body|<script|<style": ("<",),
+    r"<\?xml|<AppDomains?>": ("<?xml", "<AppDomain"),
+    r"\bfn\s+\w+\s*\(": ("fn",), r"\bfn\s+\w+": ("fn",), r"\blet\s+mut\s+": ("mut",),
+    r"use\s+std::": ("std::",), r"println!": ("println!",),
+    r"\b(const|let|var)\s+\w+": ("const", "let", "var"), r"\bfunction\s+\w+\s*\(": ("function",),
+    r"=>": ("=>",), r"console\.(log|error|warn)": ("console.",), r"async\s+function": ("async",),
+    r"await\s+": ("await",), r"\.then\(": (".then(",), r"Office\.(context|onReady)": ("Office.",),
+    r"asyncResult": ("asyncResult",),
+    r"getElementById|querySelector": ("getElementById", "querySelector"),
+    r":\s*(string|number|boolean|void|any)\b": (":",), r"\binterface\s+\w+": ("interface",),
+    r"\b(import|from)\s+\w+": ("import", "from"), r"\bdef\s+\w+\s*\(": ("def",),
+    r"\bclass\s+\w+": ("class",), r"\bprint\s*\(": ("print",), r"if\s+__name__\s*==": ("__name__",),
+    r"(?m):\s*$": (":",),
+    r"(?m)^\$\s": ("$",), r"(?m)^#!\s*/bin/(bash|sh)": ("#!",), r"\bexport\s+\w+=": ("export",),
+    r""":\s*[\{\[\"\'\d]""": (":",),
+    r"\w+\s*\{[^}]*\}": ("{",), r"(color|width|height|margin|padding):": (":",),
+    r"(?m)^\w+:\s*$": (":",), r"(?m)^\s+-\s+\w+": ("-",),
+    r"\bpackage\s+\w+": ("package",), r"\bfunc\s+\w+\s*\(": ("func",),
+    r"\b(public|private|protected)\s+(class|interface)": ("public", "private", "protected"),
+    r"System\.out\.println": ("System.out.println",),
+    r"#include\s*<": ("#include",), r"#include\s*<iostream>": ("#include",), r"\bstd::": ("std::",),
+    r"int\s+main\s*\(": ("main",),
+    r"\bnamespace\s+\w+": ("namespace",), r"\busing\s+System": ("System",),
+    r"\b(def|end|require|puts|attr_accessor)\b": ("def", "end", "require", "puts", "attr_accessor"),
+    r"<\?php": ("<?php",), r"\$\w+\s*=": ("$",),
+    r"\b(func|var|let)\s+\w+": ("func", "var", "let"), r"->": ("->",),
+    r"\b(fun|val|var)\s+\w+": ("fun", "val", "var"),
+    r"(?m)^#{1,6}\s": ("#",), r"\[[^\n]*?\]\([^\n]*?\)": ("](",),
+}
 
 
 def lang_alias(spark: SparkSession) -> DataFrame:
@@ -105,12 +139,31 @@ def _java_flags(pattern: str) -> str:
 @reused
 def detect_code_language(code: Column) -> Column:
     """Language guessed from the code itself, or ''."""
+    def holds(text: Column, pattern: str) -> Column | None:
+        found = None
+        for needed in NEEDED.get(pattern, ()):
+            one = F.contains(text, F.lit(needed))
+            found = one if found is None else found | one
+        return found
+
     def any_of(text: Column, patterns: list[str]) -> Column:
-        hit = text.rlike(_java_flags(patterns[0]))
-        for pattern in patterns[1:]:
-            hit = hit | text.rlike(_java_flags(pattern))
+        hit = None
+        for pattern in patterns:
+            one, possible = text.rlike(_java_flags(pattern)), holds(text, pattern)
+            one = one if possible is None else possible & one
+            hit = one if hit is None else hit | one
         return hit
 
+    def possible_in(text: Column, groups: tuple[list[str], ...]) -> Column | None:
+        """That a rule of several groups can hold, before the first regex of any is tried."""
+        all_ = None
+        for group in groups:
+            each = [holds(text, pattern) for pattern in group]
+            if len(groups) > 1 and all(e is not None for e in each):
+                one = functools.reduce(Column.__or__, each)
+                all_ = one if all_ is None else all_ & one
+        return all_
+
     def cascade(text: Column) -> Column:
         chain = None
         for lang, *groups in DETECTION_RULES:
@@ -119,6 +172,8 @@ def detect_code_language(code: Column) -> Column:
                 condition = condition & any_of(text, group)
             if lang == "json":
                 condition = condition & strict_json(text).isNotNull()
+            possible = possible_in(text, groups)
+            condition = condition if possible is None else possible & condition
             chain = F.when(condition, lang) if chain is None else chain.when(condition, lang)
         return chain.otherwise("")
 

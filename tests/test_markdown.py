@@ -113,6 +113,40 @@ def test_code_detection(apply):
     assert apply(L.detect_code_language, [s[0] for s in SNIPPETS]) == [s[1] for s in SNIPPETS]
 
 
+#: Two texts for each pattern of the rules that hold it, one with as little else as can be.
+MATCHING = [
+    "<HEAD", "<!doctype HTML>", "<SCRIPT", "<?xml", "<AppDomain>", "fn a(", "fn  a_1 (", "let mut ", "let  mut\tx",
+    "use std::", "use\n std::io", "println!", "const a", "let  b", "var\nc", "function f(", "function  f (", "=>",
+    "console.log", "console.warn", "async function", "await ", "x.then(", "Office.onReady", "asyncResult",
+    "getElementById", "querySelector", ":any", ": string", "interface I", "import a", "from  b", "def f(", "def f  (",
+    "class C", "print(", "print  (", "if __name__ ==", "a:", "a:  \nb", "$ ls", "x\n$ y", "#!/bin/sh", "#! /bin/bash",
+    "sudo x", "ls\n", "export A=", "{\"a\":1}", "[1]", "a:{", "a: 'b", "p{}", "p  {color:red}", "margin:", "select",
+    "JOIN", "key:", "\n - a", " -  b", "package p", "func f(", "public class", "private interface", "protected class",
+    "System.out.println", "#include <a>", "#include<iostream> std::", "std::", "int main(", "int  main (",
+    "namespace n", "using System", "end", "def", "require", "puts", "attr_accessor", "<?php", "$a =", "$a=",
+    "func a ->", "var a ->", "let a->", "fun a", "val a", "# a [b](c)", "## a\n[](", "###### [b]()", "from", "run x", "\nCOPY a",
+    "nothing at all", "", None,
+]
+
+
+def test_needed_strings_lose_no_match(spark):
+    df = spark.createDataFrame([(t,) for t in MATCHING], "t string")
+    patterns = list(dict.fromkeys(p for _, *groups in L.DETECTION_RULES for g in groups for p in g))
+    assert set(L.NEEDED) <= set(patterns) and len(set(patterns) - set(L.NEEDED)) <= 4
+    found = df.select("t", *(F.col("t").rlike(L._java_flags(p)).alias(f"p{i}") for i, p in enumerate(patterns))).collect()
+    for i, pattern in enumerate(patterns):
+        hits = [r.t for r in found if r[f"p{i}"]]
+        assert hits, pattern
+        assert all(any(n in t for n in L.NEEDED.get(pattern, ("",))) for t in hits), pattern
+
+
+def test_detection_is_that_of_the_rules_alone(spark, monkeypatch):
+    df = spark.createDataFrame([(t,) for t in [*MATCHING, *(s[0] for s in SNIPPETS)]], "t string")
+    guarded = df.select(L.detect_code_language(F.trim("t"))).collect()
+    monkeypatch.setattr(L, "NEEDED", {})
+    assert guarded == df.select(L.detect_code_language(F.trim("t"))).collect()
+
+
 def test_detect_unlabelled_option(apply):
     page = "<pre><code>import os</code></pre>"
     assert apply(lambda h: M.html_to_markdown(h, detect_unlabelled=True), [page]) == [
