@@ -127,29 +127,30 @@ class WordTokenizer:
             for word, own in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
                 self.words[word.encode("utf-8", "surrogatepass")] = np.array(own.ids, dtype="<u4").tobytes()
 
-    def _runs(self, words: list[str]) -> None:
+    def _runs(self, words: list[bytes]) -> None:
         runs = [words[i:i + RUN_WORDS] for i in range(0, len(words), RUN_WORDS)]
-        found = self.library.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)
+        found = self.library.encode_batch_fast([b" ".join(r).decode() for r in runs], add_special_tokens=False)
         for run, own in zip(runs, found):
             ids = np.array(own.ids, dtype="<u4")
             ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             if len(ends) != len(run) or ends[-1] != 4 * len(ids):
-                self._each(run)
+                self._each([word.decode() for word in run])
                 continue
             raw = ids.tobytes()
             for word, begin, end in zip(run, [0, *ends], ends):
-                self.words[word.encode()] = raw[begin:end]
+                self.words[word] = raw[begin:end]
 
     def _learn(self, new: list[bytes]) -> None:
         letters, others, marked = set(), set(), []
         for raw in new:
             base = raw.rstrip(MARKS)
-            word = base.decode("utf-8", "surrogatepass")
-            if not (word.isalpha() and word.lower().isalpha()):  # no mark joins what follows
-                others.add(raw.decode("utf-8", "surrogatepass"))
-                continue
+            if not base.isalpha():  # bytes: letters of ASCII alone need no decoding
+                word = base.decode("utf-8", "surrogatepass")
+                if not (word.isalpha() and word.lower().isalpha()):  # no mark joins what follows
+                    others.add(raw.decode("utf-8", "surrogatepass"))
+                    continue
             if base not in self.words:
-                letters.add(word)
+                letters.add(base)
             if base != raw:
                 tail = raw[len(base):]
                 marked.append((raw, base, tail))

@@ -78,3 +78,13 @@ def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     planes.write_planes(docs, str(tmp_path / "none"), PATH)
     assert planes.read_planes(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_words_of_ascii_letters_stay_bytes(monkeypatch):
+    own, library = planes.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    taken, learn = [], planes.WordTokenizer._runs
+    monkeypatch.setattr(planes.WordTokenizer, "_runs", lambda self, words: (taken.extend(words), learn(self, words)))
+    text = "plain Words, été naïve! x2 don't <b ʼn ... , end. plain été,"
+    assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert {b"plain", b"Words", b"end", "été".encode()} <= set(taken)
+    assert not {b"x2", b"don't", b"...", b""} & set(taken)
