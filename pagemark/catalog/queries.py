@@ -675,8 +675,8 @@ def fetches_in_any_order(spark, directory):
         (lost, one.limit(0)),
         (variants.captures(end(2)), variants.fetches(end(2))),
     ):
-        c.select(columns).write.mode("append").parquet(f"{folder}/captures")
-        f.drop("page_id").write.mode("append").parquet(f"{folder}/fetches")
+        c.select(columns).write.mode("append").parquet(f"{folder}/captures", compression="zstd")
+        f.drop("page_id").write.mode("append").parquet(f"{folder}/fetches", compression="zstd")
         joined = streams.join_fetch_stream(
             streams.read_stream(spark, f"{folder}/captures", captures.select(columns).schema),
             streams.read_stream(spark, f"{folder}/fetches", one.drop("page_id").schema),

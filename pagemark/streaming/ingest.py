@@ -11,6 +11,17 @@ from pagemark.plans.ingest import FALLBACK_ROUTES, answer, join_candidates, prep
 
 #: How late a record may come to a stream if the caller doesn't say.
 LATENESS = "10 minutes"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State of streams is in files on the executors' disks, and what RocksDB holds of it in memory
+#: has a bound for each executor. A join has one store for each partition (version 3), not four.
+STATE = {
+    PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 COUNTED = ("n", "sum_a", "n_a", "sum_b", "n_b")
 #: Folders of a stored table of prepared fetches.
 BUCKETS = 256
@@ -73,8 +84,9 @@ def join_fetch_stream(
         "_salt", F.pmod("_capture", F.lit(salts)))
     prepared = prepare_fetches(fetches)
     found = [c for c in prepared.columns if c not in ("url", "fetched_at")]
+    tie = F.xxhash64(*(c for c in found if c != "flags"))
     right = prepared.withWatermark("fetched_at", watermark).select(
-        F.col("url").alias("_fetch_url"), "fetched_at", *found,
+        F.col("url").alias("_fetch_url"), "fetched_at", tie.alias("_tie"), *found,
         F.explode(F.array(*_slots(F.col("fetched_at"), timeout))).alias("_fetch_slot"),
     ).withColumn("_fetch_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     in_time = (
@@ -86,13 +98,10 @@ def join_fetch_stream(
     # one event time goes on
     joined = left.join(right, in_time, "left_outer").withColumn(
         "fetched_at", F.timestamp_micros(F.unix_micros("fetched_at")))
-    place = F.struct("fetched_at", F.xxhash64(*(c for c in found if c != "flags")))
+    place = F.when(F.col("fetched_at").isNotNull(), F.struct("fetched_at", "_tie"))
     best = joined.groupBy("_capture", "captured_at").agg(
-        F.first(F.struct(*kept)).alias("_page"),
-        F.min_by(F.struct("fetched_at", *found), F.when(F.col("fetched_at").isNotNull(), place)).alias("_fetch"),
-    )
-    return best.select(*(F.col("_page")[c].alias(c) for c in kept), "captured_at",
-                       *(F.col("_fetch")[c].alias(c) for c in ("fetched_at", *found)))
+        *(F.first(c).alias(c) for c in kept), *(F.min_by(c, place).alias(c) for c in ("fetched_at", *found)))
+    return best.select(*kept, "captured_at", "fetched_at", *found)
 
 
 def unanswered(captures: DataFrame, results: DataFrame) -> DataFrame:
@@ -174,9 +183,25 @@ def counted(spark: SparkSession, path: str) -> DataFrame:
 
 
 def start(results: DataFrame, path: str, checkpoint: str, available_now: bool = False):
-    """Append results to a parquet directory."""
+    """Append results to a parquet directory.
+
+    The state of joins and aggregations is kept as ``STATE`` says, unless the session names a
+    state store of its own.
+    """
     writer = (
         results.writeStream.outputMode("append").format("parquet")
         .option("path", path).option("checkpointLocation", checkpoint)
     )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    conf = results.sparkSession.conf
+    before = {k: conf.get(k, None) for k in STATE}
+    own = before[PROVIDER] is not None
+    try:
+        for k, v in STATE.items() if not own else ():
+            if before[k] is None:
+                conf.set(k, v)
+        # the query takes a copy of the settings
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    finally:
+        for k in STATE if not own else ():
+            if before[k] is None:
+                conf.unset(k)

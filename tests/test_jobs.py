@@ -238,6 +238,30 @@ def test_stream_answers_each_capture_once(spark, captures, fetches, tmp_path):
     assert [r.url for r in missed.collect()] == ["https://example.com/lost"]
 
 
+def test_state_of_streams_holds_what_is_asked_for(spark, captures, fetches, tmp_path):
+    """Pages that nobody asks for are no state, and state is not on the heap."""
+    valid, _ = validate.validate_captures(captures)
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.md5(
+        F.concat("id", F.lit("-"), i).cast("binary"))))
+    own = lambda df: spark.range(20).crossJoin(df.filter(F.col("url") == URLS["tie"])).withColumn(
+        "url", F.concat("url", F.lit("/"), "id")).withColumn(
+        "html", F.concat(F.lit("<article><p>"), words, F.lit("</p></article>")))
+    c = own(valid).withColumn("text", words).drop("id")
+    f = own(fetches).drop("id").withColumn("fetched_at", F.to_timestamp(F.lit("2023-02-11T06:07:10Z")))
+    c.write.parquet(str(tmp_path / "c"))
+    f.write.parquet(str(tmp_path / "f"))
+    joined = streams.join_fetch_stream(
+        streams.read_stream(spark, str(tmp_path / "c"), c.schema), streams.read_stream(spark, str(tmp_path / "f"), f.schema))
+    run = streams.start(joined.select("url", "captured_at", "fetched_at", "fetch_ok"), str(tmp_path / "o"),
+                        str(tmp_path / "cp"), available_now=True)
+    run.awaitTermination()
+    states = [s for p in run.recentProgress for s in p["stateOperators"]]
+    assert max(s["numRowsUpdated"] for s in states) > 0
+    assert all(any(k.startswith("rocksdb") for k in s["customMetrics"]) for s in states)
+    assert sum(x.stat().st_size for x in (tmp_path / "cp/state").rglob("*") if x.is_file()) < 1_000_000
+    assert not spark.conf.get(streams.PROVIDER).endswith("RocksDBStateStoreProvider")
+
+
 def test_latest_fetch(spark, tmp_path):
     rows = [("u", 3, True, "b"), ("u", 9, False, "a"), ("u", 5, True, "c"), ("v", None, False, "x"),
             ("v", 1, False, "y"), ("w", 2, False, "p"), ("w", 2, True, "q"), (None, 1, True, "n")]
